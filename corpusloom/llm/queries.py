@@ -1,0 +1,35 @@
+"""The training-text queries, their SQL where SQL can say it, for __spark_entry__.py."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from corpusloom.llm import lookalike, neighbours
+from corpusloom.session import load
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = neighbours.similar_pairs(load(spark, sf_dir, "embedding_objects"), "vec_id", "embedding", k=10, min_similarity=0.94)
+    return pairs.select(F.col("id_a").alias("vec_id_a"), F.col("id_b").alias("vec_id_b"))
+
+
+def p1_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten nearest of every hundredth id, out of all vectors."""
+    near = neighbours.most_similar(load(spark, sf_dir, "embedding_objects"), "vec_id", "embedding", 10, curves=10, window=1024, query="id % 100 = 0")
+    return near.select(F.col("id").alias("vec_id"), F.col("neighbour").alias("neighbour_id"), F.round("similarity", 6).alias("similarity"), F.col("rank").cast("long").alias("rank"))
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = lookalike.look_alike_pairs(load(spark, sf_dir, "documents"), "doc_id", "text")
+    return pairs.select(F.col("id_a").alias("doc_id_a"), F.col("id_b").alias("doc_id_b"))
+
+
+def p8_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the document whose text stands for its look-alike class."""
+    classes = lookalike.canonical_classes(load(spark, sf_dir, "documents"), "doc_id", "text")
+    return classes.select(F.col("id").alias("doc_id"), F.col("class_id").alias("canonical_doc_id"))
+
+
+QUERIES = {"p1_found": p1_found, "p1_nearest": p1_nearest, "p8_found": p8_found, "p8_canonical": p8_canonical}
+ORACLE_SQL: dict[str, str] = {}
