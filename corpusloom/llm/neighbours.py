@@ -118,7 +118,7 @@ def _orderings(mean: np.ndarray, axes: np.ndarray, curves: int, seed: int):
 
 
 def most_similar(
-    df: DataFrame, id_col: str, vec_col: str, k: int = 10, *, dim: int = 64, min_similarity: float | None = None, curves: int = 6, window: int = 128, query: str | None = None, seed: int = 7
+    df: DataFrame, id_col: str, vec_col: str, k: int = 10, *, dim: int = 64, min_similarity: float | None = None, curves: int = 8, window: int = 128, query: str | None = None, seed: int = 7
 ) -> DataFrame:
     """(id, neighbour, similarity, rank): up to k most similar other vectors for each vector.
 

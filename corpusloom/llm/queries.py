@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import lookalike, neighbours
+from corpusloom.llm import lookalike, neardup, neighbours
 from corpusloom.session import load
 
 
@@ -33,3 +33,25 @@ def p8_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {"p1_found": p1_found, "p1_nearest": p1_nearest, "p8_found": p8_found, "p8_canonical": p8_canonical}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def _near_duplicates_of(spark: SparkSession, sf_dir: str, task) -> DataFrame:
+    """The task over the three fields, each table with its own keys."""
+    parts = []
+    for tab, key, field, k in (("documents", "doc_id", "text", 8), ("questions", "question_id", "body", 8), ("articles", "article_id", "title", 3)):
+        found = task(load(spark, sf_dir, tab).select(key, field), key, field, k=k, threshold=0.6)
+        parts.append(found.withColumn("tab", F.lit(tab)))
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = _near_duplicates_of(spark, sf_dir, neardup.near_duplicate_pairs)
+    return pairs.select("tab", F.col("a").alias("key_a"), F.col("b").alias("key_b"))
+
+
+def p5_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every record with its near-duplicate group and its number of links."""
+    return _near_duplicates_of(spark, sf_dir, neardup.near_duplicate_groups).select("tab", F.col("key").alias("row_key"), "group_id", "links")
+
+
+QUERIES |= {"p5_found": p5_found, "p5_groups": p5_groups}
