@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import lookalike, neardup, neighbours
+from corpusloom.llm import garbled, lookalike, neardup, neighbours
 from corpusloom.session import load
 
 
@@ -55,3 +55,21 @@ def p5_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES |= {"p5_found": p5_found, "p5_groups": p5_groups}
+
+
+def _decoded_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = load(spark, sf_dir, "documents").select(F.lit("documents").alias("tab"), F.col("doc_id").alias("row_key"), "text")
+    articles = load(spark, sf_dir, "articles").select(F.lit("articles").alias("tab"), F.col("article_id").try_cast("long").alias("row_key"), F.col("description").alias("text"))
+    return documents.unionByName(articles)
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return garbled.garbled_records(_decoded_fields(spark, sf_dir))
+
+
+def p2_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The affected records with their text restored as far as it can be."""
+    return garbled.restore(_decoded_fields(spark, sf_dir))
+
+
+QUERIES |= {"p2_found": p2_found, "p2_restored": p2_restored}
