@@ -40,7 +40,7 @@ _LETTERS = re.compile(r"(?:[^\W\d_]|[\xa0\xad])+")
 _ASCII_LETTER = re.compile("[A-Za-z]")
 _UNSEEN = re.compile("[\xa0\xad]")
 _HIGH = re.compile(r"[\u0080-\U0010ffff]+")
-_PLAIN = re.compile(r"[А-Яа-яЁё]+|[ऀ-ॿ‌‍]+")
+_PLAIN = re.compile(r"[А-ЯЁ]?[а-яё]+|[ऀ-ॿ‌‍]+")
 _WIDE_WRONG = ("gbk", "big5", "cp932", "cp949")
 # UTF-8 lead bytes of three- and two-byte letters, and what follows them.
 _SHAPE = bytes(76 if 0xE0 <= b <= 0xEF else 108 if b in (0xC3, 0xD0, 0xD1) else 99 if 0x80 <= b <= 0xBF else 120 for b in range(256))
@@ -114,13 +114,14 @@ def _tokens(text: str) -> tuple[list[str], list[str], bool]:
             if w.isascii():
                 continue
             known.append(w)
-            asked.add(w)
             if _PLAIN.fullmatch(w):
                 known += w
                 continue
+            # Every chain turns a letter, or a whole word, into signs side by side.
             for run in _HIGH.findall(w):
-                asked.add(run)
                 known += run
+                if len(run) > 1:
+                    asked.update((w, run))
                 if len(run) > 2:
                     asked.update(run[i : i + n] for n in (2, 3, 4, 6) for i in range(len(run) - n + 1))
     return known, list(asked), _LOST in text
