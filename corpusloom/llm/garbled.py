@@ -103,7 +103,7 @@ def _tokens(text: str) -> tuple[list[str], list[str], bool]:
             for run in _UNSPACED.findall(word):
                 known += run
                 known += map(str.__add__, run, run[1:])
-                if wide:
+                if wide and _wide(run):
                     asked.add(run)
                     asked.update(run[i : i + n] for n in (2, 3, 4) for i in range(len(run) - n + 1))
             word = _UNSPACED.sub(" ", word)
