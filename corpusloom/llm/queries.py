@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import garbled, lookalike, neardup, neighbours
+from corpusloom.llm import garbled, languages, lookalike, neardup, neighbours, sentences
 from corpusloom.session import load
 
 
@@ -73,3 +73,29 @@ def p2_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES |= {"p2_found": p2_found, "p2_restored": p2_restored}
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sample = load(spark, sf_dir, "documents").join(load(spark, sf_dir, "sentence_sample").select("doc_id"), "doc_id", "left_semi")
+    units = sentences.sentences(sample, "doc_id", "text", "source")
+    return units.select(F.col("id").alias("doc_id"), "char_start", "char_end")
+
+
+def p3_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sentence units of every document."""
+    units = sentences.sentences(load(spark, sf_dir, "documents"), "doc_id", "text", "source")
+    return units.select(F.col("id").alias("doc_id"), "char_start", "char_end", "sentence")
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = languages.found_labels(load(spark, sf_dir, "documents"), "doc_id", "text", "lang", "source")
+    return found.select(F.col("id").alias("doc_id"), "lang_code", "role")
+
+
+def p4_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language and confidence of every document and of its passages in other languages."""
+    rows = languages.label_passages(load(spark, sf_dir, "documents"), "doc_id", "text", "lang", "source")
+    return rows.select(F.col("id").alias("doc_id"), "role", "lang_code", F.round("confidence", 6).alias("confidence"), "first_unit", "last_unit")
+
+
+QUERIES |= {"p3_found": p3_found, "p3_units": p3_units, "p4_found": p4_found, "p4_passages": p4_passages}

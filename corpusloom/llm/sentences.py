@@ -21,6 +21,7 @@ ABBREVIATIONS = (
     "Nr Abs Abb Vgl vgl bzw ca z d h u Hr Fr Bd Kap Str Tab Tel geb evtl ggf inkl zzgl "
     "M MM Mme Mlle fig chap art env éd "
     "Sra Srta Dra pág págs aprox núm art cap Ud Uds EE "
+    "डॉ प्रो श्री "
     "т е г гг др рис Рис см См стр Стр проф Проф им ул тыс млн млрд акад табл гл"
 )
 # German month names after an ordinal day.
