@@ -19,7 +19,8 @@ from pyspark.sql import functions as F
 
 from corpusloom.llm.garbled import CHAINS, _LOST, _PAGES, _wide
 from corpusloom.llm.lookalike import INVISIBLE_RANGES, LOOKALIKE_FROM, LOOKALIKE_TO
-from corpusloom.llm.sentences import BREAK, unit_pieces
+from corpusloom.llm.sentences import unit_pieces
+from corpusloom.session import materialize
 
 LANGUAGES = ("zh", "en", "de", "fr", "es", "ja", "ru", "hi", "th")
 LATIN = ("en", "de", "fr", "es")
@@ -30,7 +31,7 @@ SWITCH = 6.0  # log-score a change of language must gain
 SURE = 1.5  # log-score a sentence needs to count
 
 _TOKEN = re.compile(r"(?P<letters>[A-Za-zÀ-ɏͰ-ӿ]+)|(?P<han>[一-鿿㐀-䶿々]+)|(?P<kana>[぀-ヿ]+)|(?P<deva>[ऀ-ॿ]+)|(?P<thai>[฀-๿]+)")
-_ODD = re.compile("[̀-゙゚ͯ⺀-⿟！-￮­᠎​-‏⁠-⁤﻿]")
+_ODD = re.compile("[\u0300-\u036f\u2e80-\u2fdf\u3099\u309a\uff10-\uff19\uff21-\uff3a\uff41-\uff5a\uff66-\uff9f\u00ad\u180e\u200b-\u200f\u2060-\u2064\ufeff]")
 _GARBLED = re.compile("[\x80-\x9fÃÂÐÑâ├√┬ĂŃ][\x80-ÿĀ-ž‚-™–-›├-╬┬⌐-⌠∂-≥¢-¿]|[РС][^\\sА-Яа-яёЁ\\w]|[²-þ]{4}|�|[А-Я]{2}[а-я]?[А-Я]{3}")
 _INVISIBLE = {c: None for lo, hi in INVISIBLE_RANGES for c in range(lo, hi + 1)}
 _TO_LATIN = str.maketrans(LOOKALIKE_FROM, LOOKALIKE_TO)
@@ -122,15 +123,24 @@ class _Words:
             return 0.0
         return float((self.scores[numbers] * np.array(weights)[:, None]).sum(axis=0).max()) / max(8, len(text))
 
+    @staticmethod
+    def suspicious(text: str) -> bool:
+        return not text.isascii() and bool(_GARBLED.search(text) or _wide(text))
+
     def readable(self, text: str) -> str:
         """The text itself, or what it stands for where it was decoded wrongly."""
-        if not (_GARBLED.search(text) or _wide(text)):
+        if not self.suspicious(text):
             return text
         best, best_score = text, self.known(text)
         for chain in CHAINS:
             other = text
             for right, wrong in reversed(chain):
-                other = _unread(other, wrong).decode(right, "ignore")
+                raw = _unread(other, wrong)
+                other = raw.decode(right, "ignore") if len(raw) >= 0.7 * len(other) else ""
+                if len(other.encode(right, "ignore")) < 0.8 * len(raw):
+                    other = ""  # most of it cannot have come this way
+            if not other or other == text:
+                continue
             score = self.known(other)
             if score > best_score * 1.2 + 0.01:
                 best, best_score = other, score
@@ -174,11 +184,38 @@ def label_passages(df: DataFrame, id_col: str, text_col: str, label_col: str, so
     Confidence is the share of the evidence that speaks for the language. Null texts and
     texts without any evidence give no row; a repeated id gives rows for each text.
     Headings, bullets and sentences without evidence neither make nor break a run.
+    Unit numbers count the pieces of unit_pieces; they are null where one language
+    alone has evidence and the text was not cut.
     """
     model = word_model(df, text_col, label_col) if model is None else model
     names = ["id", "role", "lang_code", "confidence", "first_unit", "last_unit", "label"]
+    schema = "id long, role string, lang_code string, confidence double, first_unit long, last_unit long, label string"
     by_line = F.coalesce(F.col(source_col) == "slack", F.lit(False)) if source_col else F.lit(False)
-    rows = df.where(F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), unit_pieces(F.col(text_col), by_line).alias("pieces"), F.col(label_col).alias("label"))
+    texts = df.where(F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), by_line.alias("by_line"), F.col(label_col).alias("label"))
+
+    def survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Texts with evidence for one language only are done; the others keep their text."""
+        words = _Words(model)
+        for batch in batches:
+            ids, raw, lines, labels = (batch.column(c).to_pylist() for c in ("id", "text", "by_line", "label"))
+            read = [words(t if not words.suspicious(t) else "\n".join(map(words.readable, t.split("\n")))) for t in raw]
+            order = sorted(range(len(raw)), key=lambda i: len(read[i][0]))
+            one: list = [None] * len(raw)
+            sure = [0.0] * len(raw)
+            mixed = [False] * len(raw)
+            for at in range(0, len(order), 128):
+                part = [i for i in order[at : at + 128] if read[i][0]]
+                if not part:
+                    continue
+                scores, path = _paths([read[i] for i in part], words)
+                for row, i in enumerate(part):
+                    size = len(read[i][0])
+                    gain = np.bincount(path[row, :size], np.maximum(scores[row, np.arange(size), path[row, :size]], 0), len(LANGUAGES))
+                    best = int(gain.argmax())
+                    one[i], sure[i] = LANGUAGES[best] if gain[best] > 0 else None, float(gain[best] / max(gain.sum(), 1e-9))
+                    mixed[i] = bool(np.sort(gain)[-2] >= SURE)
+            kept = [t if m else None for t, m in zip(raw, mixed, strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(one, pa.string()), pa.array(sure, pa.float64()), pa.array(kept, pa.string()), pa.array(lines, pa.bool_()), pa.array(labels, pa.string())], ["id", "lang_code", "confidence", "text", "by_line", "label"])
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _Words(model)
@@ -201,16 +238,24 @@ def label_passages(df: DataFrame, id_col: str, text_col: str, label_col: str, so
             kinds = (pa.int64(), pa.string(), pa.string(), pa.float64(), pa.int64(), pa.int64(), pa.string())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names)
 
-    return rows.mapInArrow(label, "id long, role string, lang_code string, confidence double, first_unit long, last_unit long, label string")
+    surveyed = materialize(texts.mapInArrow(survey, "id long, lang_code string, confidence double, text string, by_line boolean, label string"), "languages")
+    done = surveyed.where("text is null and lang_code is not null").select("id", F.lit("main").alias("role"), "lang_code", "confidence", F.lit(None).cast("long").alias("first_unit"), F.lit(None).cast("long").alias("last_unit"), "label")
+    pieces = surveyed.where("text is not null").select("id", unit_pieces(F.col("text"), F.col("by_line")).alias("pieces"), "label")
+    return done.unionByName(pieces.mapInArrow(label, schema))
+
+
+def _paths(texts: list[tuple], words: _Words) -> tuple[np.ndarray, np.ndarray]:
+    """Scores and best languages of the words of a few texts of like length."""
+    scores = np.zeros((len(texts), max(len(t[0]) for t in texts), len(LANGUAGES)))
+    for row, (numbers, weights) in enumerate(texts):
+        scores[row, : len(numbers)] = words.scores[numbers] * np.array(weights)[:, None]
+    return scores, viterbi(scores, SWITCH)
 
 
 def _decide(docs: list[tuple], words: _Words) -> list[tuple]:
     """The rows of a few documents of like length."""
-    longest, n = max(len(d[3]) for d in docs), len(LANGUAGES)
-    scores = np.zeros((len(docs), longest, n))
-    for row, d in enumerate(docs):
-        scores[row, : len(d[3])] = words.scores[d[3]] * np.array(d[4])[:, None]
-    path = viterbi(scores, SWITCH)
+    n = len(LANGUAGES)
+    scores, path = _paths([(d[3], d[4]) for d in docs], words)
     out = []
     for row, (key, pieces, label, numbers, _, unit) in enumerate(docs):
         size, unit = len(numbers), np.array(unit)
