@@ -27,6 +27,7 @@ LATIN = ("en", "de", "fr", "es")
 # Three-letter codes of the nine languages, both forms where there are two.
 THREE_LETTERS = {"zho": "zh", "chi": "zh", "eng": "en", "deu": "de", "ger": "de", "fra": "fr", "fre": "fr", "spa": "es", "jpn": "ja", "rus": "ru", "hin": "hi", "tha": "th"}
 NO_LABEL = ("", "und", "unknown")
+READS_WELL = 0.25  # score a character
 SWITCH = 6.0  # log-score a change of language must gain
 SURE = 1.5  # log-score a sentence needs to count
 
@@ -132,7 +133,9 @@ class _Words:
         if not self.suspicious(text):
             return text
         best, best_score = text, self.known(text)
-        for chain in CHAINS:
+        # Text that reads well can only be ideographs of a wide code page.
+        chains = CHAINS if best_score < READS_WELL and _GARBLED.search(text) else _WIDE_CHAINS if _wide(text) else ()
+        for chain in chains:
             other = text
             for right, wrong in reversed(chain):
                 raw = _unread(other, wrong)
@@ -147,6 +150,7 @@ class _Words:
         return best
 
 
+_WIDE_CHAINS = [c for c in CHAINS if c[0][1] in ("gbk", "big5", "cp932", "cp949")]
 _BACK = {code: {ord(c): b for b, c in page.items()} for code, page in _PAGES.items()}
 
 
