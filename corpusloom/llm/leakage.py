@@ -1,10 +1,10 @@
 """Problem 6: evaluation passages inside training documents.
 
-Latent semantic retrieval. Evaluation passages are cut into overlapping parts whose
-TF-IDF rows (document frequencies counted over the whole corpus) are factored by a
-randomised SVD: a random range finder with power iterations, its matrix products summed
-by Spark over the parts' terms. Every window of every document is folded into the latent
-space, compared with all parts by cosine, and each candidate is verified by the longest
+Latent semantic retrieval. The TF-IDF rows of the evaluation passages (document
+frequencies counted over the whole corpus) are factored by a randomised SVD: a random
+range finder with power iterations, its matrix products summed by Spark over the matrix
+entries. Every window of every document is folded into the latent space, compared with
+all passages by cosine, and each candidate is verified by the longest
 common run of words or characters in original order and by the share of the passage
 that the run covers.
 """
@@ -24,10 +24,9 @@ from pyspark.sql import functions as F
 from corpusloom.llm.lookalike import fold_lookalikes
 
 MAX_ITEMS = 100_000  # bound on the evaluation set that executors hold
-RANK, OVERSAMPLE, POWER = 256, 32, 2
-PART, STEP = 24, 12  # terms of an evaluation part, and from one part to the next
+RANK, OVERSAMPLE, POWER = 320, 32, 2
 WINDOW, SLIDE = 48, 24  # terms of a document window, and from one to the next
-COSINE = 0.35
+COSINE = 0.3
 COVER = 0.5  # share of the passage a leak holds
 _TERM = re.compile(r"[A-Za-z0-9À-ɏͰ-ӿऀ-ॿ]+|[⺀-鿿ぁ-ヿ฀-๿豈-﫿]")
 
@@ -106,7 +105,7 @@ class _Space:
         self.weight = (idf**2).astype(np.float32)
 
     def fold(self, features: list[str], window: int, slide: int) -> tuple[np.ndarray, np.ndarray]:
-        """Unit latent vectors of the windows that hold any known feature, and their starts."""
+        """Latent vectors of the windows that hold any known feature, and their starts."""
         known = np.array([self.place.get(f, -1) for f in features])
         at = np.flatnonzero(known >= 0)
         if not len(at):
@@ -122,9 +121,8 @@ class _Space:
         x = sum(halves[i : i + len(starts)] for i in range(window // slide))
         m = sum(mass[i : i + len(starts)] for i in range(window // slide))
         keep = m > 0
-        # The norm is that of the known features alone: what a document adds around them costs nothing.
-        norm = np.maximum(np.linalg.norm(x, axis=1), 1e-6)
-        return (x / norm[:, None])[keep], starts[keep]
+        # The norm is that of the features known from passages: what stands around them costs nothing.
+        return x[keep] / np.sqrt(m[keep])[:, None], starts[keep]
 
 
 def _longest_run(passage: list[str], window: list[str]) -> tuple[int, int]:
@@ -168,23 +166,21 @@ def leaks(documents: DataFrame, id_col: str, text_col: str, items: DataFrame, it
     frequency, total = _corpus_frequencies(texts, wanted)
     place = {f: i for i, f in enumerate(sorted(wanted))}
     idf = np.array([math.log((total + 1) / (frequency.get(f, 0) + 1)) + 0.1 for f in sorted(wanted)])
-    parts: list[tuple[int, list[int]]] = []
-    for p, (_, terms, _) in enumerate(passages):
-        features = [place[f] for f in _features(terms)]
-        parts += [(p, features[i : i + PART]) for i in range(0, max(1, len(features) - PART + STEP), STEP) if features]
     spark = documents.sparkSession
-    empty = spark.createDataFrame([], "id long, item_id long, covered double")
-    if not parts or not total:
-        return empty
-    rows = pd.DataFrame([(r, c, idf[c]) for r, (_, cols) in enumerate(parts) for c in cols], columns=["row", "col", "value"]).groupby(["row", "col"], as_index=False).value.sum()
+    if not place or not total:
+        return spark.createDataFrame([], "id long, item_id long, covered double")
+    rows = pd.DataFrame([(r, place[f]) for r, (_, terms, _) in enumerate(passages) for f in _features(terms)], columns=["row", "col"])
+    rows["value"] = idf[rows.col]
+    rows = rows.groupby(["row", "col"], as_index=False).value.sum()
     rows["value"] /= np.sqrt((rows.value**2).groupby(rows.row).transform("sum"))
     entries = spark.createDataFrame(rows).repartition(8).select(F.col("row").cast("long"), F.col("col").cast("long"), F.col("value").cast("double"))
-    axes, _ = randomised_svd(entries, len(parts), len(place), RANK)
-    latent = np.zeros((len(parts), axes.shape[1]))
+    axes, _ = randomised_svd(entries, len(passages), len(place), RANK)
+    latent = np.zeros((len(passages), axes.shape[1]))
     np.add.at(latent, rows.row.to_numpy(), axes[rows.col.to_numpy()] * rows.value.to_numpy()[:, None])
-    latent = (latent / np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-9)).astype(np.float32)
-    owner = np.array([p for p, _ in parts])
+    latent = latent.astype(np.float32)
     rare = idf >= np.quantile(idf, 0.5)
+    hints_of = [{f for f in _features(terms) if rare[place[f]]} or set(_features(terms)) for _, terms, _ in passages]
+    telling = set().union(*hints_of)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         space = _Space(place, idf, axes)
@@ -193,6 +189,8 @@ def leaks(documents: DataFrame, id_col: str, text_col: str, items: DataFrame, it
             for key, text in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 terms = _terms(text)
                 features = _features(terms)
+                if telling.isdisjoint(features):
+                    continue
                 x, starts = space.fold(features, WINDOW, SLIDE)
                 if not len(x):
                     continue
@@ -201,7 +199,7 @@ def leaks(documents: DataFrame, id_col: str, text_col: str, items: DataFrame, it
                     continue
                 best: dict[int, float] = {}
                 w, c = np.nonzero(close)
-                pairs = sorted(set(zip(owner[c].tolist(), starts[w].tolist(), strict=True)))
+                pairs = sorted(zip(c.tolist(), starts[w].tolist(), strict=True))
                 spans: dict[int, list[list[int]]] = {}
                 for p, s in pairs:
                     reach = len(passages[p][1])
@@ -224,5 +222,4 @@ def leaks(documents: DataFrame, id_col: str, text_col: str, items: DataFrame, it
             columns = list(zip(*found, strict=True)) if found else [[], [], []]
             yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.float64())], ["id", "item_id", "covered"])
 
-    hints_of = [{f for f in _features(terms) if rare[place[f]]} or set(_features(terms)) for _, terms, _ in passages]
     return texts.mapInArrow(search, "id long, item_id long, covered double").groupBy("id", "item_id").agg(F.max("covered").alias("covered"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import garbled, languages, lookalike, neardup, neighbours, sentences
+from corpusloom.llm import garbled, languages, leakage, lookalike, mixing, neardup, neighbours, sentences
 from corpusloom.session import load
 
 
@@ -99,3 +99,39 @@ def p4_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES |= {"p3_found": p3_found, "p3_units": p3_units, "p4_found": p4_found, "p4_passages": p4_passages}
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = leakage.leaks(load(spark, sf_dir, "documents"), "doc_id", "text", load(spark, sf_dir, "eval_cases"), "item_id", "passage")
+    return found.select(F.col("id").alias("doc_id"), "item_id")
+
+
+def p6_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every test item with the number of documents it leaked into and the best cover."""
+    items = load(spark, sf_dir, "eval_cases")
+    found = leakage.leaks(load(spark, sf_dir, "documents"), "doc_id", "text", items, "item_id", "passage")
+    counts = found.groupBy("item_id").agg(F.count("*").alias("documents"), F.round(F.max("covered"), 6).alias("best_cover"))
+    return items.select("item_id").join(counts, "item_id", "left").na.fill(0, ["documents"])
+
+
+QUERIES |= {"p6_found": p6_found, "p6_items": p6_items}
+
+
+TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+
+
+def _mix(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    return mixing.curriculum(load(spark, sf_dir, "documents"), load(spark, sf_dir, "mix_targets"), "doc_id", "text", "source", TOKENIZER)
+
+
+def p7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chosen documents of every mix with their repeats and training positions."""
+    return _mix(spark, sf_dir)[0].select("mix_name", "source", F.col("id").alias("doc_id"), "epoch", "tokens", F.round("position", 9).alias("position"))
+
+
+def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target and actual token shares of every mix and source."""
+    return _mix(spark, sf_dir)[1].select("mix_name", "source", "target_share", "tokens", "documents", F.round("actual_share", 9).alias("actual_share"), "most_repeats")
+
+
+QUERIES |= {"p7_mix": p7_mix, "p7_shares": p7_shares}
