@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Placeholders: opening and closing quote, masked mark, break (one character), cut (no character).
-OPEN, CLOSE, MASK, BREAK, CUT = "", "", "", "", ""
+OPEN, CLOSE, MASK, BREAK, CUT = "\ue010", "\ue011", "\ue020", "\ue001", "\ue002"
 
 # Abbreviations that never end a sentence, by language.
 ABBREVIATIONS = (
@@ -30,7 +30,7 @@ MONTHS = "Januar|Februar|März|April|Mai|Juni|Juli|August|September|Oktober|Nove
 GOES_ON = "然后|我们照|没有人|没人|有人|于是|随后|接着|这样|说|问|答|道|写|喊|的|地|后|并|就|也|是|和|与|等|と|って|が|を|は|に|の|で|も|など|という"
 
 _END = ".!?。！？｡।॥"
-_CJK = r"⺀-鿿豈-﫿ｦ-ﾟ"
+_CJK = r"\u2e80-\u9fff\uf900-\ufaff\uff66-\uff9f"
 _CLOSERS = CLOSE + r")\]）】》’'"
 
 
@@ -92,7 +92,7 @@ def sentences(df: DataFrame, id_col: str, text_col: str, source_col: str | None
     ends = F.aggregate("pieces", F.array(F.lit(0)), lambda done, piece: F.concat(done, F.array(F.element_at(done, -1) + F.length(piece))))
     units = F.zip_with("pieces", ends, lambda piece, start: F.struct(piece.alias("piece"), start.alias("start")))
     unit = rows.select("id", "text", F.explode(units).alias("u")).where("u.piece is not null")
-    blank = rf"[\s\u0085   -​    　﻿{BREAK}]"
+    blank = rf"[\s\x85\xa0\u1680\u2000-\u200b\u2028\u2029\u202f\u205f\u3000\ufeff{BREAK}]"
     head = F.regexp_replace(F.col("u.piece"), f"^{blank}+", "")
     start = F.col("u.start") + F.length("u.piece") - F.length(head)
     size = F.length(F.regexp_replace(head, f"{blank}+$", ""))
