@@ -1,4 +1,347 @@
 """The registered queries on the given tables and the SQL that states each of them."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from corpusloom.functions import metadata as M
+from corpusloom.functions import text as T
+from corpusloom.operators import answers, keywords, predicates, store, vectors
+from corpusloom.plans.pipelines import chunks
+from corpusloom.session import load
+from corpusloom.streaming.ingest import hourly
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+QUESTION = "scheduler acceptance test 检索服务"
+TOKENS = ["scheduler", "acceptance", "handbook"]
+
+
+def query(sql: str | None = None):
+    """Registers a query under its function's name, with its SQL."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _long(*names: str) -> list:
+    return [F.col(n).cast("long").alias(n) for n in names]
+
+
+_S = r"[\s\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{0b}]"
+
+
+def _sql_strip(x: str) -> str:
+    return f"regexp_replace({x}, '^{_S}+|{_S}+$', '', 'g')"
+
+
+def _sql_entities(x: str) -> str:
+    for entity, char in T.ENTITIES:
+        x = "replace({}, '{}', '{}')".format(x, entity, "''" if char == "'" else char)
+    return x
+
+
+def _sql_clean(x: str) -> str:
+    x = _sql_entities(f"regexp_replace({x}, '<[^>]+>', ' ', 'g')")
+    x = rf"regexp_replace({x}, '[\r\x00-\x08\x0b\x0c\x0e-\x1f\x7f]', '', 'g')"
+    x = rf"regexp_replace({x}, '[\x{{85}}\x{{a0}}\x{{1680}}\x{{2000}}-\x{{200a}}\x{{2028}}\x{{2029}}\x{{202f}}\x{{205f}}\x{{3000}}]+', ' ', 'g')"
+    return _sql_strip(rf"regexp_replace(regexp_replace({x}, '[ \t]+', ' ', 'g'), '\n{{3,}}', chr(10) || chr(10), 'g')")
+
+
+def _sql_sentences(x: str) -> str:
+    x = rf"regexp_replace(regexp_replace({x}, '([。！？\n!?])\s*', '\1' || chr(57344), 'g'), '\.\s+([A-Z\d])', '.' || chr(57344) || '\1', 'g')"
+    return f"list_filter(list_transform(string_split({x}, chr(57344)), lambda s: {_sql_strip('s')}), lambda s: s <> '')"
+
+
+def _sql_paragraphs(x: str) -> str:
+    return rf"list_filter(list_transform(string_split_regex({x}, '\n\s*\n'), lambda p: {_sql_strip('p')}), lambda p: p <> '')"
+
+
+def _sql_blocks(parts: str, size: int) -> str:
+    return f"""list_transform(list_reduce(list_prepend({{'done': []::VARCHAR[], 'open': ''}}, list_transform({parts}, lambda s: {{'done': []::VARCHAR[], 'open': s}})),
+        lambda a, b: CASE WHEN a.open = '' THEN {{'done': a.done, 'open': b.open}} WHEN length(a.open) + 1 + length(b.open) <= {size} THEN {{'done': a.done, 'open': a.open || ' ' || b.open}}
+        ELSE {{'done': list_append(a.done, a.open), 'open': b.open}} END), lambda x: x)"""
+
+
+@query(f"SELECT doc_id, {_sql_clean('text')} AS text FROM documents")
+def clean_documents(spark, d):
+    return load(spark, d, "documents").select("doc_id", T.clean_text(F.col("text")).alias("text"))
+
+
+@query(f"SELECT article_id, {_sql_clean('description')} AS description FROM articles")
+def clean_descriptions(spark, d):
+    return load(spark, d, "articles").select("article_id", T.clean_text(F.col("description")).alias("description"))
+
+
+@query(f"SELECT question_id, tag, {_sql_strip('regexp_replace(' + _sql_entities('body') + ', ' + chr(39) + '<[^>]+>' + chr(39) + ', ' + chr(39) * 2 + ', ' + chr(39) + 'g' + chr(39) + ')')} AS body FROM questions")
+def strip_question_html(spark, d):
+    return load(spark, d, "questions").select("question_id", "tag", T.strip_html(F.col("body")).alias("body"))
+
+
+@query(f"SELECT doc_id, unnest(range(len(s))) AS place, unnest(s) AS sentence FROM (SELECT doc_id, {_sql_sentences(_sql_clean('text'))} AS s FROM documents)")
+def sentence_split(spark, d):
+    parts = F.posexplode(T.split_sentences(T.clean_text(F.col("text")))).alias("place", "sentence")
+    return load(spark, d, "documents").select("doc_id", parts).select("doc_id", F.col("place").cast("long").alias("place"), "sentence")
+
+
+@query(f"SELECT doc_id, unnest(range(len(p))) AS place, unnest(p) AS paragraph FROM (SELECT doc_id, {_sql_paragraphs(_sql_clean('text'))} AS p FROM documents)")
+def paragraph_split(spark, d):
+    parts = F.posexplode(T.paragraphs(T.clean_text(F.col("text")))).alias("place", "paragraph")
+    return load(spark, d, "documents").select("doc_id", parts).select("doc_id", F.col("place").cast("long").alias("place"), "paragraph")
+
+
+@query(
+    f"""WITH paras AS (SELECT doc_id, unnest(range(len(p))) AS pi, unnest(p) AS para FROM (SELECT doc_id, {_sql_paragraphs(_sql_clean('text'))} AS p FROM documents)),
+    folded AS (SELECT doc_id, pi, {_sql_blocks(_sql_sentences('para'), 700)} AS st FROM (SELECT *, 1 FROM paras)),
+    blocks AS (SELECT doc_id, pi, unnest(range(len(b))) AS bi, unnest(b) AS block FROM (SELECT doc_id, pi, list_append(st.done, st.open) AS b FROM folded)),
+    placed AS (SELECT doc_id, block, coalesce(sum(length(block) + 1) OVER (PARTITION BY doc_id ORDER BY pi, bi ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS pos, row_number() OVER (PARTITION BY doc_id ORDER BY pi, bi) AS n FROM blocks),
+    cut AS (SELECT doc_id, n, block AS text, pos AS char_start, pos + length(block) AS char_end FROM placed WHERE length(block) <= 700
+      UNION ALL SELECT doc_id, n, {_sql_strip('substring(block, s + 1, 700)')}, pos + s, pos + least(s + 700, length(block)) FROM (SELECT *, unnest(range(0, length(block), 580)) AS s FROM placed WHERE length(block) > 700)),
+    kept AS (SELECT * FROM cut WHERE length(text) >= 40),
+    every AS (SELECT doc_id, text, char_start, char_end FROM kept
+      UNION ALL SELECT doc_id, t, 0, length(t) FROM (SELECT doc_id, {_sql_clean('text')} AS t FROM documents) WHERE t <> '' AND doc_id NOT IN (SELECT doc_id FROM kept))
+    SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY char_start) - 1 AS chunk_id, text, char_start, char_end FROM every""".replace("list_transform(list_reduce", "(list_reduce").replace(" END), lambda x: x)", " END))")
+)
+def chunk_documents(spark, d):
+    return chunks(load(spark, d, "documents"), "doc_id").select("doc_id", F.col("chunk_id").cast("long").alias("chunk_id"), "text", *_long("char_start", "char_end"))
+
+
+_NAME = r"regexp_extract(path, '([^/]+)$', 1)"
+
+
+@query(
+    f"""SELECT category, count(*) AS documents FROM (SELECT CASE {" ".join(f"WHEN starts_with(lower({_NAME}), '{p}') THEN '{c}'" for p, c in T.CATEGORY_PREFIXES)} ELSE 'general' END AS category FROM documents) GROUP BY category"""
+)
+def guess_category(spark, d):
+    name = F.regexp_extract("path", "([^/]+)$", 1)
+    return load(spark, d, "documents").select(T.guess_category(name).alias("category")).groupBy("category").agg(F.count("*").alias("documents"))
+
+
+@query("SELECT article_id, string_split(url, '?')[1] AS url, regexp_extract(url, '/article/details/(\\d+)', 1) AS detail_id FROM articles")
+def url_normalise(spark, d):
+    return load(spark, d, "articles").select("article_id", T.plain_url(F.col("url")).alias("url"), F.regexp_extract("url", r"/article/details/(\d+)", 1).alias("detail_id"))
+
+
+_BODY = f"regexp_replace(lower(coalesce(text, '')), '{_S}+', '', 'g')"
+
+
+def _sql_count(target: str, term: str) -> str:
+    if term.isascii():
+        return f"len(list_filter(regexp_extract_all({target}, '[a-z0-9_+-]+'), lambda t: t = '{term}'))"
+    return f"((length({target}) - length(replace({target}, '{term}', ''))) // {len(term)})"
+
+
+def _sql_keyword(question: str) -> str:
+    inner = [f"CASE WHEN contains(body, '{question.lower().replace(' ', '')}') THEN {4.0 * len(question.replace(' ', ''))} ELSE 0 END"]
+    outer = ["0"]
+    for term in keywords.query_terms(question):
+        weight = max(len(term), 2)
+        inner.append(f"least({_sql_count('low' if term.isascii() else 'body', term)}, 4) * {float(weight)}")
+        outer.append(f"CASE WHEN {_sql_count('name', term)} > 0 THEN {weight * 0.5} ELSE 0 END")
+    return f"""SELECT doc_id, source, raw_score, round(1 / (1 + raw_score), 4) AS score FROM (
+      SELECT doc_id, source, (CASE WHEN inner_score > 0 THEN inner_score + outer_score ELSE 0 END)::DOUBLE AS raw_score FROM (
+        SELECT doc_id, source, ({" + ".join(inner)}) AS inner_score, ({" + ".join(outer)}) AS outer_score
+        FROM (SELECT doc_id, source, {_BODY} AS body, lower(coalesce(text, '')) AS low, lower(coalesce(source, '')) AS name FROM documents))) WHERE raw_score > 0
+      ORDER BY raw_score DESC, source NULLS FIRST, doc_id LIMIT 20"""
+
+
+@query(_sql_keyword(QUESTION))
+def keyword_topk(spark, d):
+    hits = keywords.keyword_search(load(spark, d, "documents"), QUESTION, 20, id_col="doc_id")
+    return hits.select("doc_id", "source", "raw_score", keywords.rank_score(F.col("raw_score")).alias("score"))
+
+
+@query("SELECT doc_id, len(list_filter(regexp_extract_all(lower(text), '[a-z0-9_+-]+'), lambda t: t = 'scheduler'))::BIGINT AS ascii_hits, ((length(text) - length(replace(text, '数据', ''))) // 2)::BIGINT AS cjk_hits FROM documents")
+def term_frequency(spark, d):
+    return load(spark, d, "documents").select("doc_id", keywords.occurrences(F.lower("text"), "scheduler").cast("long").alias("ascii_hits"), keywords.occurrences(F.col("text"), "数据").cast("long").alias("cjk_hits"))
+
+
+@query(
+    "WITH t AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9_]{2,}') AS tokens FROM documents WHERE text IS NOT NULL), c AS (SELECT doc_id, len(tokens) AS length, "
+    + ", ".join(f"len(list_filter(tokens, lambda x: x = '{t}')) AS tf_{i}" for i, t in enumerate(TOKENS))
+    + " FROM t), s AS (SELECT count(*) AS n, avg(length) AS mean, "
+    + ", ".join(f"count(*) FILTER (tf_{i} > 0) AS df_{i}" for i in range(len(TOKENS)))
+    + " FROM c) SELECT doc_id, round(score, 6) AS score FROM (SELECT doc_id, "
+    + " + ".join(f"ln(1 + (n - df_{i} + 0.5) / (df_{i} + 0.5)) * tf_{i} * 2.2 / (tf_{i} + 1.2 * (0.25 + 0.75 * length / mean))" for i in range(len(TOKENS)))
+    + " AS score FROM c, s) WHERE score > 0 ORDER BY score DESC, doc_id LIMIT 50"
+)
+def bm25_topk(spark, d):
+    return keywords.bm25(load(spark, d, "documents"), "doc_id", "text", TOKENS, 50).select(F.col("id").alias("doc_id"), F.round("score", 6).alias("score"))
+
+
+@query("SELECT token, count(*) AS documents, sum(tf)::BIGINT AS hits FROM (SELECT doc_id, token, count(*) AS tf FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9_]{2,}')) AS token FROM documents) GROUP BY doc_id, token) GROUP BY token")
+def posting_totals(spark, d):
+    return keywords.postings(load(spark, d, "documents"), "doc_id", "text").groupBy("token").agg(F.count("*").alias("documents"), F.sum("tf").alias("hits"))
+
+
+_QUERY_VECTOR = [((i * 37) % 19 - 9) / 20 for i in range(64)]
+_SQL_VECTOR = "[" + ", ".join(map(str, _QUERY_VECTOR)) + "]::DOUBLE[]"
+_SQL_NEAR = f"SELECT vec_id, label, list_cosine_distance(embedding::DOUBLE[], {_SQL_VECTOR}) AS distance FROM embeddings"
+
+
+def _shown(hits: DataFrame) -> DataFrame:
+    return hits.select("vec_id", "label", F.round("distance", 6).alias("distance"))
+
+
+@query(f"SELECT vec_id, label, round(distance, 6) AS distance FROM ({_SQL_NEAR}) ORDER BY distance, vec_id LIMIT 10")
+def vector_topk(spark, d):
+    return _shown(vectors.nearest(load(spark, d, "embeddings"), _QUERY_VECTOR, 10))
+
+
+@query(f"SELECT vec_id, label, round(distance, 6) AS distance FROM ({_SQL_NEAR}) WHERE label = 3 OR label IN (1, 2) ORDER BY distance, vec_id LIMIT 10")
+def vector_topk_filtered(spark, d):
+    rows = predicates.filtered(load(spark, d, "embeddings"), {"$or": [{"label": 3}, {"label": {"$in": [1, 2]}}]})
+    return _shown(vectors.nearest(rows, _QUERY_VECTOR, 10))
+
+
+@query(f"SELECT vec_id, label, round(distance, 6) AS distance FROM ({_SQL_NEAR}) WHERE distance <= 0.9 ORDER BY distance, vec_id LIMIT 25")
+def vector_max_distance(spark, d):
+    return _shown(vectors.nearest(load(spark, d, "embeddings"), _QUERY_VECTOR, 25, max_distance=0.9))
+
+
+@query(
+    f"""WITH n AS (SELECT *, 'group ' || (vec_id // 2) AS text FROM ({_SQL_NEAR})),
+    b AS (SELECT *, 0 AS route FROM (SELECT * FROM n WHERE label < 3 ORDER BY distance, vec_id LIMIT 10) UNION ALL SELECT *, 1 FROM (SELECT * FROM n ORDER BY distance, vec_id LIMIT 10))
+    SELECT vec_id, label, round(distance, 6) AS distance, route::BIGINT AS route FROM (SELECT * FROM b QUALIFY row_number() OVER (PARTITION BY text ORDER BY route, distance, vec_id) = 1) ORDER BY distance, vec_id LIMIT 10"""
+)
+def dual_route_topk(spark, d):
+    rows = load(spark, d, "embeddings").withColumn("text", F.concat(F.lit("group "), F.floor(F.col("vec_id") / 2).cast("string")))
+    hits = vectors.two_routes(rows, _QUERY_VECTOR, 10, F.col("label") < 3)
+    return hits.select("vec_id", "label", F.round("distance", 6).alias("distance"), F.col("route").cast("long").alias("route"))
+
+
+@query("SELECT doc_id, text FROM documents QUALIFY row_number() OVER (PARTITION BY text ORDER BY doc_id) = 1")
+def dedupe_first_by_text(spark, d):
+    return load(spark, d, "documents").groupBy("text").agg(F.min("doc_id").alias("doc_id")).select("doc_id", "text")
+
+
+@query("SELECT DISTINCT source FROM documents WHERE source IS NOT NULL ORDER BY source LIMIT 500")
+def source_list(spark, d):
+    return load(spark, d, "documents").where("source is not null").select("source").distinct().orderBy("source").limit(500)
+
+
+@query("SELECT count(*) AS total, count(DISTINCT source) AS source_count FROM documents")
+def corpus_stats(spark, d):
+    return store.corpus_stats(load(spark, d, "documents"), "source")
+
+
+@query("SELECT source, category, count(*) AS documents, sum(n_chars)::BIGINT AS chars FROM documents GROUP BY ROLLUP (source, category)")
+def corpus_rollup(spark, d):
+    return load(spark, d, "documents").rollup("source", "category").agg(F.count("*").alias("documents"), F.sum("n_chars").alias("chars"))
+
+
+@query("SELECT question_id, title, score::BIGINT AS score FROM questions WHERE question_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY question_id ORDER BY fetched_at DESC, tag DESC, score DESC, title DESC) = 1")
+def upsert_last_wins(spark, d):
+    rows = load(spark, d, "questions").select("question_id", "title", "score", "fetched_at", "tag")
+    return store.last_wins(rows, "question_id", "fetched_at", "tag", "score", "title").select("question_id", "title", F.col("score").cast("long").alias("score"))
+
+
+@query("SELECT doc_id, source FROM documents d WHERE NOT EXISTS (SELECT 1 FROM sentence_sample s WHERE s.doc_id = d.doc_id)")
+def new_docs_anti(spark, d):
+    return store.only_new(load(spark, d, "documents"), load(spark, d, "sentence_sample"), "doc_id").select("doc_id", "source")
+
+
+@query("SELECT tag, question_id, score::BIGINT AS score, row_number() OVER (PARTITION BY tag ORDER BY score DESC, question_id) AS place FROM questions WHERE answer_count >= 1 AND score >= 3 QUALIFY place <= 10")
+def top_questions_per_tag(spark, d):
+    rows = load(spark, d, "questions").where("answer_count >= 1 and score >= 3")
+    return store.top_per_group(rows, "tag", 10, F.desc("score"), "question_id").select("tag", "question_id", *_long("score", "place"))
+
+
+@query("SELECT author, doc_id, created_at, row_number() OVER (PARTITION BY author ORDER BY created_at DESC, doc_id DESC, content DESC) AS place FROM (SELECT DISTINCT author, doc_id, created_at, content FROM tickets WHERE author IS NOT NULL AND created_at IS NOT NULL AND doc_id IS NOT NULL AND content IS NOT NULL) QUALIFY place <= 10")
+def history_last_n(spark, d):
+    rows = load(spark, d, "tickets").select("author", "doc_id", "created_at", "content").where("author is not null and created_at is not null and doc_id is not null and content is not null").distinct()
+    return store.top_per_group(rows, "author", 10, F.desc("created_at"), F.desc("doc_id"), F.desc("content")).select("author", "doc_id", "created_at", *_long("place"))
+
+
+@query(
+    """WITH r AS (SELECT *, row_number() OVER (PARTITION BY category ORDER BY n_chars DESC, doc_id) AS rank FROM documents QUALIFY rank <= 5),
+    j AS (SELECT category, string_agg('[source: ' || coalesce(source, 'unknown') || coalesce(' (' || metadata.year || ')', '') || ']' || chr(10) || coalesce(text, ''), chr(10) || chr(10) ORDER BY rank) AS c FROM r GROUP BY category)
+    SELECT category, CASE WHEN length(c) > 8000 THEN substring(c, 1, 8000) || '...' ELSE c END AS context FROM j"""
+)
+def context_assembly(spark, d):
+    rows = load(spark, d, "documents").withColumn("year", F.col("metadata.year"))
+    best = store.top_per_group(rows, "category", 5, F.desc("n_chars"), "doc_id")
+    return answers.context(best, "category", "place", "text", "source", "year")
+
+
+@query("SELECT category, string_agg('- ' || s, chr(10) ORDER BY s) AS citations FROM (SELECT DISTINCT category, coalesce(source, 'unknown') AS s FROM documents) GROUP BY category")
+def citation_list(spark, d):
+    return load(spark, d, "documents").groupBy("category").agg(answers.citations(F.col("source")).alias("citations"))
+
+
+@query("SELECT event_type, count(*) AS events, sum(CAST(json_extract_string(props, '$.k') AS BIGINT))::BIGINT AS k_sum FROM events GROUP BY event_type")
+def event_props_json(spark, d):
+    k = F.get_json_object("props", "$.k").cast("long")
+    return load(spark, d, "events").groupBy("event_type").agg(F.count("*").alias("events"), F.sum(k).alias("k_sum"))
+
+
+@query("SELECT date_trunc('hour', ts) AS hour, event_type, count(*) AS events, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
+def hourly_events(spark, d):
+    return hourly(load(spark, d, "events"), "ts", "value", "event_type").select("hour", "event_type", "events", F.round("total", 4).alias("total"))
+
+
+@query(
+    r"""SELECT year, count(*) AS documents FROM (SELECT coalesce(
+    year(coalesce(try_strptime(trim(created_at), '%Y-%m-%d'), try_strptime(trim(created_at), '%Y-%m-%d %H:%M:%S'), try_strptime(trim(created_at), '%Y/%m/%d'), try_strptime(trim(created_at), '%d-%m-%Y'))),
+    TRY_CAST(nullif(regexp_extract(created_at, '(?:^|[^0-9])((?:19|20)[0-9]{2})(?:[^0-9]|$)', 1), '') AS BIGINT)) AS year FROM documents) GROUP BY year"""
+)
+def year_from_date(spark, d):
+    rows = load(spark, d, "documents").select(T.year_of(F.col("created_at")).cast("long").alias("year"))
+    return rows.groupBy("year").agg(F.count("*").alias("documents"))
+
+
+@query(
+    """SELECT e.category, count(*) AS cases, count(*) FILTER (hit) AS hits, round(avg(CASE WHEN hit THEN 1.0 ELSE 0.0 END), 4) AS recall FROM (
+    SELECT category, EXISTS (SELECT 1 FROM (SELECT DISTINCT category AS s FROM documents UNION SELECT DISTINCT source FROM documents) x WHERE len(list_filter(expected_source_hint, lambda h: contains(lower(x.s), lower(h)))) > 0) AS hit FROM eval_cases) e GROUP BY e.category"""
+)
+def eval_recall(spark, d):
+    documents = load(spark, d, "documents")
+    names = documents.select(F.explode(F.array("category", "source")).alias("s")).distinct().agg(F.collect_set("s").alias("sources"))
+    # The distinct categories and sources are one row of a few dozen names.
+    cases = load(spark, d, "eval_cases").crossJoin(F.broadcast(names)).withColumn("hit", F.coalesce(answers.hint_hit(F.col("expected_source_hint"), F.col("sources")), F.lit(False)))
+    return cases.groupBy("category").agg(F.count("*").alias("cases"), F.count_if("hit").alias("hits"), F.round(F.avg(F.col("hit").cast("double")), 4).alias("recall"))
+
+
+@query("SELECT event_type, round(avg(value), 4) AS mean_value, CASE WHEN avg(value) > median(value) THEN 'mean' ELSE 'median' END AS larger FROM events GROUP BY event_type")
+def latency_summary(spark, d):
+    middle = F.expr("percentile(value, 0.5)")
+    return load(spark, d, "events").groupBy("event_type").agg(F.round(F.avg("value"), 4).alias("mean_value"), F.when(F.avg("value") > middle, "mean").otherwise("median").alias("larger"))
+
+
+@query("SELECT doc_type, coalesce(nullif(category, ''), CASE WHEN doc_type IN ('ticket', 'error_log', 'slack', 'manual') THEN doc_type END, 'general') AS category, count(*) AS records FROM tickets GROUP BY 1, 2")
+def record_metadata(spark, d):
+    rows = load(spark, d, "tickets").select("doc_type", M.record_category(F.col("category"), F.col("doc_type")).alias("category"))
+    return rows.groupBy("doc_type", "category").agg(F.count("*").alias("records"))
+
+
+@query(f"SELECT doc_id, title, regexp_replace({_sql_strip('title')}, '\\s+', '_', 'g') AS name, length(content) AS chars FROM tickets WHERE {_sql_strip('content')} <> '' AND title IS NOT NULL".replace("regexp_replace(" + _sql_strip("title") + ", '\\s+', '_', 'g')", f"coalesce(nullif(substring(regexp_replace(regexp_replace(lower({_sql_strip('title')}), '{_S}+', '_', 'g'), '[^\\p{{L}}\\p{{N}}_-]', '', 'g'), 1, 80), ''), 'document')"))
+def record_names(spark, d):
+    rows = load(spark, d, "tickets").where((T.strip(F.col("content")) != "") & F.col("title").isNotNull())
+    return rows.select("doc_id", "title", T.safe_name(F.col("title")).alias("name"), F.length("content").cast("long").alias("chars"))
+
+
+@query("SELECT doc_id, row_number() OVER (ORDER BY path, doc_id) - 1 AS doc_idx FROM documents")
+def document_ordinal(spark, d):
+    return store.with_ordinal(load(spark, d, "documents").select("doc_id", "path"), "path", "doc_id").select("doc_id", *_long("doc_idx"))
+
+
+@query("SELECT source, count(*) AS documents, round(avg(n_chars), 4) AS mean_chars, max(n_chars) AS longest FROM documents WHERE (category = 'faq' OR category = 'wiki') AND contains(text, '2024') GROUP BY source")
+def filtered_profile(spark, d):
+    rows = predicates.filtered(load(spark, d, "documents"), {"$or": [{"category": "faq"}, {"category": "wiki"}]}, contains="2024")
+    return rows.groupBy("source").agg(F.count("*").alias("documents"), F.round(F.avg("n_chars"), 4).alias("mean_chars"), F.max("n_chars").alias("longest"))
+
+
+@query("SELECT o_orderpriority, count(*) AS orders, round(sum(l_quantity), 2) AS quantity FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE o_orderdate >= TIMESTAMP '1995-01-01' GROUP BY o_orderpriority")
+def order_profile(spark, d):
+    orders = load(spark, d, "orders").where("o_orderdate >= timestamp '1995-01-01'").select("o_orderkey", "o_orderpriority")
+    lines = load(spark, d, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("n"), F.sum("l_quantity").alias("q"))
+    joined = orders.join(lines, F.col("o_orderkey") == F.col("l_orderkey"))
+    return joined.groupBy("o_orderpriority").agg(F.sum("n").alias("orders"), F.round(F.sum("q"), 2).alias("quantity"))
