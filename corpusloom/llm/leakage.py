@@ -22,12 +22,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm.lookalike import fold_lookalikes
+from corpusloom.llm.shingles import mix
+from corpusloom.session import materialize
 
-MAX_ITEMS = 100_000  # bound on the evaluation set that executors hold
+MAX_ITEMS = 20_000  # bound on the evaluation set that executors hold
 RANK, OVERSAMPLE, POWER = 320, 32, 2
 WINDOW, SLIDE = 48, 24  # terms of a document window, and from one to the next
 COSINE = 0.3
 COVER = 0.5  # share of the passage a leak holds
+# Only letters and digits become terms: these are the characters the fold changes among them.
+_FOLDED = r"[\u00ad\u0370-\u052f\u115f-\u1160\u17b4-\u17b5\u200b-\u200f\u2060-\u206f\u2e80-\u2fdf\uf900-\ufaff\ufe00-\ufe0f\ufeff\uff10-\uff19\uff21-\uff3a\uff41-\uff5a\uff66-\uff9f]"
 _TERM = re.compile(r"[A-Za-z0-9À-ɏͰ-ӿऀ-ॿ]+|[⺀-鿿ぁ-ヿ฀-๿豈-﫿]")
 
 
@@ -38,7 +42,9 @@ def _terms(text: str) -> list[str]:
 
 def _normal(df: DataFrame, id_col: str, text_col: str, name: str) -> DataFrame:
     """(id, text) lower-cased with look-alike characters folded."""
-    return df.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias(name), F.lower(fold_lookalikes(F.col(text_col))).alias("text"))
+    text = F.col(text_col)
+    plain = F.when(text.rlike(_FOLDED), fold_lookalikes(text)).otherwise(text)
+    return df.where(F.col(id_col).isNotNull() & text.isNotNull()).select(F.col(id_col).cast("long").alias(name), F.lower(plain).alias("text"))
 
 
 def _features(terms: list[str]) -> list[str]:
@@ -65,64 +71,89 @@ def _corpus_frequencies(documents: DataFrame, wanted: set[str]) -> tuple[dict[st
     return found, found.pop("", 0)
 
 
+def _normals(columns: np.ndarray, width: int, seed: int) -> np.ndarray:
+    """The rows of a random Gaussian matrix, each made from its number: nothing is shipped."""
+    base = mix(columns.astype(np.uint64) * np.uint64(width) + np.uint64(seed << 40))[:, None] + np.arange(width, dtype=np.uint64)[None, :]
+    u, v = mix(base), mix(base ^ np.uint64(0x5DEECE66D))
+    return np.sqrt(-2 * np.log((u >> np.uint64(11)).astype(np.float64) * 2.0**-53 + 2.0**-54)) * np.cos(2 * np.pi * (v >> np.uint64(11)).astype(np.float64) * 2.0**-53)
+
+
 def randomised_svd(entries: DataFrame, n_rows: int, n_cols: int, rank: int, seed: int = 11) -> tuple[np.ndarray, np.ndarray]:
-    """Leading right singular vectors (n_cols x rank) and singular values of the sparse matrix
-    entries (row, col, value). The products with the sparse matrix run as Spark jobs over its
-    entries; only dense blocks of the rank's width, bounded by the evaluation set, travel."""
+    """Leading left singular vectors (n_rows x rank) and singular values of the sparse matrix
+    entries (row, col, value), a row for each evaluation passage.
+
+    Entries of a column share a partition, so one Spark job multiplies by the matrix and its
+    transpose; only blocks of n_rows x rank numbers, bounded by the evaluation set, reach the
+    driver, already summed by row. Power iterations sharpen the range before the small
+    eigenproblem is solved.
+    """
     width = min(rank + OVERSAMPLE, n_rows, n_cols)
+    by_column = materialize(entries.repartition("col"), "leakage-entries")
 
-    def times(dense: np.ndarray, by: str, out: str, size: int) -> np.ndarray:
+    def product(basis: np.ndarray | None) -> np.ndarray:
         def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            total: dict[int, np.ndarray] = {}
-            for batch in batches:
-                i, j, v = (batch.column(c).to_numpy() for c in (out, by, "value"))
-                keys, place = np.unique(i, return_inverse=True)
-                block = np.zeros((len(keys), dense.shape[1]))
-                np.add.at(block, place, dense[j] * v[:, None])
-                for key, row in zip(keys.tolist(), block, strict=True):
-                    total[key] = total[key] + row if key in total else row
-            yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array([r.tobytes() for r in total.values()], pa.binary())], ["i", "part"])
-
-        result = np.zeros((size, dense.shape[1]))
-        for r in entries.mapInArrow(partial, "i long, part binary").toLocalIterator():
-            result[r.i] += np.frombuffer(r.part)
+            held = [tuple(batch.column(c).to_numpy() for c in ("row", "col", "value")) for batch in batches]
+            if not held:
+                return
+            row, col, value = (np.concatenate(x) for x in zip(*held, strict=True))
+            keys, place = np.unique(col, return_inverse=True)
+            if basis is None:
+                inner = _normals(keys, width, seed)
+            else:
+                inner = np.zeros((len(keys), width))
+                np.add.at(inner, place, basis[row] * value[:, None])
+            block = np.zeros((n_rows, width))
+            np.add.at(block, row, inner[place] * value[:, None])
+            used = np.unique(row)
+            yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(block[used].tolist(), pa.list_(pa.float64()))], ["i", "part"])
+
+        sums = by_column.mapInArrow(partial, "i long, part array<double>")
+        summed = sums.select("i", F.posexplode("part").alias("j", "x")).groupBy("i", "j").agg(F.sum("x").alias("x"))
+        result = np.zeros((n_rows, width))
+        for r in summed.groupBy("i").agg(F.array_sort(F.collect_list(F.struct("j", "x"))).alias("part")).toLocalIterator():
+            result[r.i] = [p.x for p in r.part]
         return result
 
-    basis = np.linalg.qr(times(np.random.default_rng(seed).normal(size=(n_cols, width)), "col", "row", n_rows))[0]
+    basis = np.linalg.qr(product(None))[0]
     for _ in range(POWER):
-        back = np.linalg.qr(times(basis, "row", "col", n_cols))[0]
-        basis = np.linalg.qr(times(back, "col", "row", n_rows))[0]
-    small = times(basis, "row", "col", n_cols)
-    left, values, _ = np.linalg.svd(small, full_matrices=False)
-    return left[:, :rank], values[:rank]
+        basis = np.linalg.qr(product(basis))[0]
+    values, turn = np.linalg.eigh(basis.T @ product(basis))
+    order = [i for i in np.argsort(values)[::-1][:rank] if values[i] > 1e-9]
+    return basis @ turn[:, order], np.sqrt(values[order])
 
 
 class _Space:
-    """Folds lists of features into the latent space."""
+    """Folds lists of features into the latent space: first onto the passages, by the sparse
+    matrix's postings, then by the singular vectors."""
 
-    def __init__(self, place: dict[str, int], idf: np.ndarray, axes: np.ndarray):
-        self.place, self.axes = place, (axes * idf[:, None]).astype(np.float32)
-        self.weight = (idf**2).astype(np.float32)
+    def __init__(self, place: dict[str, int], idf: np.ndarray, row: np.ndarray, col: np.ndarray, value: np.ndarray, left: np.ndarray, values: np.ndarray):
+        order = np.argsort(col, kind="stable")
+        self.place, self.items = place, left.shape[0]
+        self.row, self.value = row[order], value[order] * idf[col[order]]
+        self.first = np.searchsorted(col[order], np.arange(len(idf) + 1))
+        self.weight = idf**2
+        self.axes = (left / values).astype(np.float32)
 
     def fold(self, features: list[str], window: int, slide: int) -> tuple[np.ndarray, np.ndarray]:
         """Latent vectors of the windows that hold any known feature, and their starts."""
-        known = np.array([self.place.get(f, -1) for f in features])
+        get = self.place.get
+        known = np.array([get(f, -1) for f in features])
         at = np.flatnonzero(known >= 0)
         if not len(at):
             return np.zeros((0, self.axes.shape[1]), np.float32), np.zeros(0, np.int64)
         starts = np.arange(0, max(1, len(features) - window + slide), slide)
-        # Sums of half windows, added in pairs.
-        halves = np.zeros((len(starts) + window // slide, self.axes.shape[1]), np.float32)
-        mass = np.zeros(len(halves), np.float32)
-        half = at // slide
-        bounds = np.flatnonzero(np.r_[True, half[1:] != half[:-1]])
-        halves[half[bounds]] = np.add.reduceat(self.axes[known[at]], bounds, axis=0)
-        mass[half[bounds]] = np.add.reduceat(self.weight[known[at]], bounds)
-        x = sum(halves[i : i + len(starts)] for i in range(window // slide))
+        steps, col = len(starts) + window // slide, known[at]
+        half = np.minimum(at // slide, steps - 1)
+        count = self.first[col + 1] - self.first[col]
+        entry = np.repeat(self.first[col] - np.cumsum(count) + count, count) + np.arange(count.sum())
+        on = np.bincount(np.repeat(half, count) * self.items + self.row[entry], self.value[entry], steps * self.items).reshape(steps, self.items)
+        mass = np.bincount(half, self.weight[col], steps)
+        # Half windows are added in pairs.
+        x = sum(on[i : i + len(starts)] for i in range(window // slide))
         m = sum(mass[i : i + len(starts)] for i in range(window // slide))
         keep = m > 0
         # The norm is that of the features known from passages: what stands around them costs nothing.
-        return x[keep] / np.sqrt(m[keep])[:, None], starts[keep]
+        return (x[keep] / np.sqrt(m[keep])[:, None]).astype(np.float32) @ self.axes, starts[keep]
 
 
 def _longest_run(passage: list[str], window: list[str]) -> tuple[int, int]:
@@ -174,16 +205,15 @@ def leaks(documents: DataFrame, id_col: str, text_col: str, items: DataFrame, it
     rows = rows.groupby(["row", "col"], as_index=False).value.sum()
     rows["value"] /= np.sqrt((rows.value**2).groupby(rows.row).transform("sum"))
     entries = spark.createDataFrame(rows).repartition(8).select(F.col("row").cast("long"), F.col("col").cast("long"), F.col("value").cast("double"))
-    axes, _ = randomised_svd(entries, len(passages), len(place), RANK)
-    latent = np.zeros((len(passages), axes.shape[1]))
-    np.add.at(latent, rows.row.to_numpy(), axes[rows.col.to_numpy()] * rows.value.to_numpy()[:, None])
-    latent = latent.astype(np.float32)
+    left, values = randomised_svd(entries, len(passages), len(place), RANK)
+    latent = (left * values).astype(np.float32)
+    matrix = (rows.row.to_numpy(), rows.col.to_numpy(), rows.value.to_numpy())
     rare = idf >= np.quantile(idf, 0.5)
     hints_of = [{f for f in _features(terms) if rare[place[f]]} or set(_features(terms)) for _, terms, _ in passages]
     telling = set().union(*hints_of)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        space = _Space(place, idf, axes)
+        space = _Space(place, idf, *matrix, left, values)
         for batch in batches:
             found: list[tuple[int, int, float]] = []
             for key, text in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist(), strict=True):
