@@ -60,8 +60,10 @@ def word_model(df: DataFrame, text_col: str, label_col: str, *, sample: int = 20
     counts = labelled.where(F.pmod(F.xxhash64("text"), F.lit(share)) == 0).select("code", word).groupBy("word").pivot("code", list(LATIN)).count().na.fill(0)
     rows = counts.withColumn("n", sum(F.col(x) for x in LATIN)).where("n >= 3").orderBy(F.desc("n"), "word").limit(words).collect()
     table = np.array([[r[x] for x in LATIN] for r in rows], np.float64).reshape(-1, len(LATIN))
-    rate = (table + 0.1) / (table.sum(axis=0, keepdims=True) + 1.0)
-    score = np.clip(np.log(rate / rate.mean(axis=1, keepdims=True)), -2.5, 1.5)
+    total = table.sum(axis=0, keepdims=True)
+    # A language without labelled rows has no evidence to offer.
+    rate = np.where(total > 0, (table + 0.1) / (total + 1.0), 0.0)
+    score = np.clip(np.log(np.maximum(rate, 1e-12) / np.maximum(rate.mean(axis=1, keepdims=True), 1e-12)), -2.5, 1.5)
     return {r.word: s for r, s in zip(rows, score, strict=True)}
 
 

@@ -49,7 +49,7 @@ def _normal(df: DataFrame, id_col: str, text_col: str, name: str) -> DataFrame:
 
 def _features(terms: list[str]) -> list[str]:
     """Terms as they stand, and neighbouring pairs where a term is one character."""
-    return [t if len(t) > 1 else t + n for t, n in zip(terms, terms[1:] + [""], strict=True)]
+    return [t if len(t) > 1 else t + n for t, n in zip(terms, [*terms[1:], ""], strict=False)]
 
 
 def _corpus_frequencies(documents: DataFrame, wanted: set[str]) -> tuple[dict[str, int], int]:
