@@ -29,6 +29,7 @@ MAX_ITEMS = 20_000  # bound on the evaluation set that executors hold
 RANK, OVERSAMPLE, POWER = 320, 32, 2
 WINDOW, SLIDE = 48, 24  # terms of a document window, and from one to the next
 COSINE = 0.3
+FEW = 4  # documents
 COVER = 0.5  # share of the passage a leak holds
 # Only letters and digits become terms: these are the characters the fold changes among them.
 _FOLDED = r"[\u00ad\u0370-\u052f\u115f-\u1160\u17b4-\u17b5\u200b-\u200f\u2060-\u206f\u2e80-\u2fdf\uf900-\ufaff\ufe00-\ufe0f\ufeff\uff10-\uff19\uff21-\uff3a\uff41-\uff5a\uff66-\uff9f]"
@@ -208,7 +209,9 @@ def leaks(documents: DataFrame, id_col: str, text_col: str, items: DataFrame, it
     left, values = randomised_svd(entries, len(passages), len(place), RANK)
     latent = (left * values).astype(np.float32)
     matrix = (rows.row.to_numpy(), rows.col.to_numpy(), rows.value.to_numpy())
-    rare = idf >= np.quantile(idf, 0.5)
+    # Telling terms: the rarer half of all, and those that a few documents hold at most.
+    seen = np.array([frequency.get(f, 0) for f in sorted(wanted)])
+    rare = (idf >= np.quantile(idf, 0.5)) | (seen <= FEW)
     hints_of = [{f for f in _features(terms) if rare[place[f]]} or set(_features(terms)) for _, terms, _ in passages]
     telling = set().union(*hints_of)
 
