@@ -14,6 +14,7 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -124,24 +125,25 @@ def randomised_svd(entries: DataFrame, n_rows: int, n_cols: int, rank: int, seed
 
 
 class _Space:
-    """Folds lists of features into the latent space: first onto the passages, by the sparse
-    matrix's postings, then by the singular vectors."""
+    """Cosines in the latent space between windows of features and the passages: the window is
+    folded first onto the passages, by the sparse matrix's postings, then by the singular vectors."""
 
-    def __init__(self, place: dict[str, int], idf: np.ndarray, row: np.ndarray, col: np.ndarray, value: np.ndarray, left: np.ndarray, values: np.ndarray):
+    def __init__(self, place: dict[str, int], idf: np.ndarray, row: np.ndarray, col: np.ndarray, value: np.ndarray, left: np.ndarray):
         order = np.argsort(col, kind="stable")
         self.place, self.items = place, left.shape[0]
         self.row, self.value = row[order], value[order] * idf[col[order]]
         self.first = np.searchsorted(col[order], np.arange(len(idf) + 1))
         self.weight = idf**2
-        self.axes = (left / values).astype(np.float32)
+        # The singular values cancel. Few passages make one matrix the shorter way, many the two steps.
+        axes = left.astype(np.float32)
+        self.turns = [axes @ axes.T] if self.items <= 2 * axes.shape[1] else [axes, np.ascontiguousarray(axes.T)]
 
-    def fold(self, features: list[str], window: int, slide: int) -> tuple[np.ndarray, np.ndarray]:
-        """Latent vectors of the windows that hold any known feature, and their starts."""
-        get = self.place.get
-        known = np.array([get(f, -1) for f in features])
+    def cosines(self, features: list[str], window: int, slide: int) -> tuple[np.ndarray, np.ndarray]:
+        """Cosines of the windows that hold any known feature with all passages, and their starts."""
+        known = np.fromiter(map(self.place.get, features, repeat(-1)), np.int64, len(features))
         at = np.flatnonzero(known >= 0)
         if not len(at):
-            return np.zeros((0, self.axes.shape[1]), np.float32), np.zeros(0, np.int64)
+            return np.zeros((0, self.items), np.float32), np.zeros(0, np.int64)
         starts = np.arange(0, max(1, len(features) - window + slide), slide)
         steps, col = len(starts) + window // slide, known[at]
         half = np.minimum(at // slide, steps - 1)
@@ -154,7 +156,10 @@ class _Space:
         m = sum(mass[i : i + len(starts)] for i in range(window // slide))
         keep = m > 0
         # The norm is that of the features known from passages: what stands around them costs nothing.
-        return (x[keep] / np.sqrt(m[keep])[:, None]).astype(np.float32) @ self.axes, starts[keep]
+        x = (x[keep] / np.sqrt(m[keep])[:, None]).astype(np.float32)
+        for turn in self.turns:
+            x = x @ turn
+        return x, starts[keep]
 
 
 def _longest_run(passage: list[str], window: list[str]) -> tuple[int, int]:
@@ -206,8 +211,7 @@ def leaks(documents: DataFrame, id_col: str, text_col: str, items: DataFrame, it
     rows = rows.groupby(["row", "col"], as_index=False).value.sum()
     rows["value"] /= np.sqrt((rows.value**2).groupby(rows.row).transform("sum"))
     entries = spark.createDataFrame(rows).repartition(8).select(F.col("row").cast("long"), F.col("col").cast("long"), F.col("value").cast("double"))
-    left, values = randomised_svd(entries, len(passages), len(place), RANK)
-    latent = (left * values).astype(np.float32)
+    left, _ = randomised_svd(entries, len(passages), len(place), RANK)
     matrix = (rows.row.to_numpy(), rows.col.to_numpy(), rows.value.to_numpy())
     # Telling terms: the rarer half of all, and those that a few documents hold at most.
     seen = np.array([frequency.get(f, 0) for f in sorted(wanted)])
@@ -216,7 +220,7 @@ def leaks(documents: DataFrame, id_col: str, text_col: str, items: DataFrame, it
     telling = set().union(*hints_of)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        space = _Space(place, idf, *matrix, left, values)
+        space = _Space(place, idf, *matrix, left)
         for batch in batches:
             found: list[tuple[int, int, float]] = []
             for key, text in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist(), strict=True):
@@ -224,10 +228,8 @@ def leaks(documents: DataFrame, id_col: str, text_col: str, items: DataFrame, it
                 features = _features(terms)
                 if telling.isdisjoint(features):
                     continue
-                x, starts = space.fold(features, WINDOW, SLIDE)
-                if not len(x):
-                    continue
-                close = x @ latent.T >= cosine
+                near, starts = space.cosines(features, WINDOW, SLIDE)
+                close = near >= cosine
                 if not close.any():
                     continue
                 best: dict[int, float] = {}
