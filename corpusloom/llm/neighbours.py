@@ -24,6 +24,7 @@ from corpusloom.session import materialize
 
 DIMS, BITS = 12, 5  # 60-bit keys
 MOMENT_PARTS = 8
+ASK_AT_ONCE = 64  # asking rows compared in one step: bounds the block of similarities
 
 
 def _matrix(column: pa.ChunkedArray | pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
@@ -128,7 +129,8 @@ def most_similar(
     repeated id counts once. With min_similarity only pairs at or above it are kept, which bounds the
     rows carried to the rerank; without it each window passes on the 2k best of
     a vector, by the rounded values. query is a SQL condition on id for the rows that
-    ask; all rows answer. An empty table gives no rows. Extra columns are ignored.
+    ask; all rows answer. A small share of asking rows affords a wide window, as the others
+    are not compared; its 3k best over all curves are reranked. An empty table gives no rows. Extra columns are ignored.
     """
     vectors = df.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("vec")).where("id is not null and vec is not null")
     mean, axes = _principal(vectors, dim, min(2 * DIMS, dim))
@@ -154,15 +156,45 @@ def most_similar(
                     ["curve", "key", "id", "small", "scale", "err"],
                 )
 
-    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: tuple[np.ndarray, ...] | None = None
+    def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
         for batch in batches:
             if not batch.num_rows:
                 continue
             raw = batch.column("small")
             x = np.frombuffer(raw.buffers()[2], np.int8)[raw.offset * dim : (raw.offset + len(raw)) * dim].reshape(-1, dim).astype(np.float32)
             x *= batch.column("scale").to_numpy()[:, None]
-            now = (batch.column("curve").to_numpy(), batch.column("id").to_numpy(), batch.column("err").to_numpy(), x, batch.column("asks").to_numpy(zero_copy_only=False))
+            yield batch.column("curve").to_numpy(), batch.column("id").to_numpy(), batch.column("err").to_numpy(), x, batch.column("asks").to_numpy(zero_copy_only=False)
+
+    def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The best of both sides for the rows that ask, each once a full window follows it."""
+        held: tuple[np.ndarray, ...] | None = None
+        done = 0
+        for now in unpacked(batches):
+            held = now if held is None else tuple(np.concatenate([a, b]) for a, b in zip(held, now, strict=True))
+            ready = len(held[0]) - window
+            if ready - done >= window:
+                yield from answer(held, done, ready)
+                start = max(0, ready - window)
+                held, done = tuple(a[start:] for a in held), ready - start
+        if held is not None:
+            yield from answer(held, done, len(held[0]))
+
+    def answer(held: tuple[np.ndarray, ...], first: int, last: int) -> Iterator[pa.RecordBatch]:
+        curve, ids, _, x, asks = held
+        rows = first + np.flatnonzero(asks[first:last])
+        for at in range(0, len(rows), ASK_AT_ONCE):
+            own = rows[at : at + ASK_AT_ONCE]
+            lo, hi = max(0, own[0] - window), min(len(ids), own[-1] + window + 1)
+            other = np.arange(lo, hi)[None, :]
+            ok = (np.abs(other - own[:, None]) <= window) & (curve[lo:hi][None, :] == curve[own][:, None]) & (ids[lo:hi][None, :] != ids[own][:, None])
+            s = np.where(ok, x[own] @ x[lo:hi].T, -2)
+            a, b = np.nonzero(_leaders(s, 2 * k) & ok)
+            if len(a):
+                yield pa.RecordBatch.from_arrays([pa.array(ids[own[a]]), pa.array(ids[lo + b]), pa.array(s[a, b].astype(np.float32))], ["a", "b", "s"])
+
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: tuple[np.ndarray, ...] | None = None
+        for now in unpacked(batches):
             fresh = 0
             if held is not None:
                 fresh = len(held[0])
@@ -196,7 +228,14 @@ def most_similar(
 
     lines = vectors.mapInArrow(keyed, "curve int, key long, id long, small binary, scale float, err float")
     lines = lines.withColumn("asks", F.expr(query) if query else F.lit(True)).repartitionByRange("curve", "key", "id").sortWithinPartitions("curve", "key", "id")
-    pairs = materialize(lines.mapInArrow(windows, "a long, b long").distinct(), "neighbours")
+    if query and min_similarity is None:
+        # Only rows that ask pay for a window, and only their best by rounded values are reranked.
+        near = lines.mapInArrow(asked, "a long, b long, s float").groupBy("a", "b").agg(F.max("s").alias("s"))
+        place = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("s"), "b"))
+        near = near.withColumn("place", place).where(F.col("place") <= 3 * k).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    else:
+        near = lines.mapInArrow(windows, "a long, b long")
+    pairs = materialize(near.distinct(), "neighbours")
     return _rerank(pairs, vectors, k, min_similarity, query)
 
 

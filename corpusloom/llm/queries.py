@@ -16,7 +16,7 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p1_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ten nearest of every hundredth id, out of all vectors."""
-    near = neighbours.most_similar(load(spark, sf_dir, "embedding_objects"), "vec_id", "embedding", 10, curves=10, window=1024, query="id % 100 = 0")
+    near = neighbours.most_similar(load(spark, sf_dir, "embedding_objects"), "vec_id", "embedding", 10, curves=10, window=32768, query="id % 100 = 0")
     return near.select(F.col("id").alias("vec_id"), F.col("neighbour").alias("neighbour_id"), F.round("similarity", 6).alias("similarity"), F.col("rank").cast("long").alias("rank"))
 
 
