@@ -345,3 +345,32 @@ def order_profile(spark, d):
     lines = load(spark, d, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("n"), F.sum("l_quantity").alias("q"))
     joined = orders.join(lines, F.col("o_orderkey") == F.col("l_orderkey"))
     return joined.groupBy("o_orderpriority").agg(F.sum("n").alias("orders"), F.round(F.sum("q"), 2).alias("quantity"))
+
+
+@query("SELECT article_id, CASE WHEN length(description) > 400 THEN replace(substring(description, 1, 400), chr(10), ' ') || '...' ELSE replace(description, chr(10), ' ') END AS snippet FROM articles")
+def snippets(spark, d):
+    return load(spark, d, "articles").select("article_id", T.snippet(F.col("description")).alias("snippet"))
+
+
+@query(
+    """SELECT question_id, tag, replace(replace(replace(replace(replace(replace(title, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#x27;'), chr(10), '<br>') AS html FROM questions"""
+)
+def html_escape(spark, d):
+    return load(spark, d, "questions").select("question_id", "tag", T.escape_html(F.col("title")).alias("html"))
+
+
+@query(
+    """SELECT doc_id, coalesce(nullif(author, ''), metadata.author) AS author, coalesce(nullif(category, ''), metadata.category) AS category,
+    metadata.year::BIGINT AS year, coalesce(nullif(lang, ''), metadata.language) AS language, metadata.summary AS summary FROM documents"""
+)
+def merge_metadata(spark, d):
+    model = {k: F.col(f"metadata.{k}") for k in ("author", "year", "category", "language", "summary")}
+    merged = M.merge({"author": F.col("author"), "category": F.col("category"), "language": F.col("lang")}, model)
+    return load(spark, d, "documents").select("doc_id", *(v.alias(k) for k, v in merged.items())).withColumn("year", F.col("year").cast("long"))
+
+
+@query("SELECT tag, question_id, score::BIGINT AS score FROM (SELECT DISTINCT unnest(tags) AS tag, question_id, score FROM questions) QUALIFY row_number() OVER (PARTITION BY tag ORDER BY score DESC, question_id DESC) = 1")
+def best_question_per_tag(spark, d):
+    rows = load(spark, d, "questions").select(F.explode("tags").alias("tag"), "question_id", "score")
+    best = rows.groupBy("tag").agg(F.max(F.struct("score", "question_id")).alias("b"))
+    return best.select("tag", "b.question_id", F.col("b.score").cast("long").alias("score"))

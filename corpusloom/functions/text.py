@@ -155,3 +155,16 @@ def year_of(date: Column) -> Column:
     formats = ("yyyy-MM-dd", "yyyy-MM-dd HH:mm:ss", "yyyy/MM/dd", "dd-MM-yyyy", "MMM d, yyyy", "yyyy-MM-dd'T'HH:mm:ss'Z'")
     parsed = F.coalesce(*(F.year(F.try_to_timestamp(F.trim(date), F.lit(f))) for f in formats))
     return F.coalesce(parsed, F.regexp_extract(date, r"(?<!\d)((?:19|20)\d{2})(?!\d)", 1).try_cast("int"))
+
+
+def snippet(text: Column, size: int = 400) -> Column:
+    """The first characters on one line, with dots where the text goes on."""
+    one_line = F.replace(F.substring(text, 1, size), F.lit("\n"), F.lit(" "))
+    return F.when(F.length(text) > size, F.concat(one_line, F.lit("..."))).otherwise(one_line)
+
+
+def escape_html(text: Column) -> Column:
+    """Text as HTML: the five special characters as entities, line ends as breaks."""
+    for char, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;"), ("\n", "<br>")):
+        text = F.replace(text, F.lit(char), F.lit(entity))
+    return text

@@ -45,3 +45,10 @@ def test_metadata(spark):
     got = value(spark, M.lenient_json(F.col("t")), '```json\n{"author": "Bob", "year": 2025,}\n```', 'prose "category": "faq" more', "")
     assert (got[0].author, got[0].year) == ("Bob", "2025")
     assert got[1].category == "faq" and got[2].author is None
+
+
+def test_snippet_and_html_escape(spark):
+    df = spark.createDataFrame([(1, "a\nb<c>&'\""), (2, None), (3, ""), (4, "x" * 401)], "id long, text string")
+    rows = {r.id: (r.s, r.h) for r in df.select("id", T.snippet(F.col("text")).alias("s"), T.escape_html(F.col("text")).alias("h")).collect()}
+    assert rows[1] == ("a b<c>&'\"", "a<br>b&lt;c&gt;&amp;&#x27;&quot;") and rows[2] == (None, None) and rows[3] == ("", "")
+    assert rows[4][0] == "x" * 400 + "..."
