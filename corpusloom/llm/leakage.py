@@ -186,7 +186,62 @@ def _longest_run(passage: list[str], window: list[str]) -> tuple[int, int]:
     return best
 
 
-def leaks(documents: DataFrame, id_col: str, text_col: str, items: DataFrame, item_col: str, passage_col: str, *, cosine: float = COSINE, cover: float = COVER) -> DataFrame:
+class _Runs:
+    """Where a document may hold the share cover of a passage: a test that loses no run of _longest_run.
+
+    Every stretch of a run but the last has two equal terms or more, and at most two terms
+    of the passage and of the document lie between stretches. So the neighbouring pairs that
+    both share start at most four terms apart in either, from the run's first term to at most
+    five terms before its end.
+    """
+
+    def __init__(self, passages: list[list[str]], cover: float):
+        self.number: dict[tuple[str, str], int] = {}
+        self.step = max(map(len, passages), default=0) + 8
+        least = [next((s for s in range(1, len(p) + 1) if s / len(p) >= cover), len(p) + 1) for p in passages]
+        self.reach = np.array([max(0, s - 5) for s in least], np.int64)
+        self.pairs = [-(-(s - 1) // 4) for s in least]
+        # One term alone is a run of passages this short.
+        self.tiny: dict[str, set[int]] = {}
+        for p, terms in enumerate(passages):
+            for term in terms if least[p] < 2 else ():
+                self.tiny.setdefault(term, set()).add(p)
+        entries = [(self.number.setdefault(q, len(self.number)), p * self.step + i) for p, terms in enumerate(passages) for i, q in enumerate(zip(terms, terms[1:], strict=False))]
+        self.own = [{self.number[q] for q in zip(terms, terms[1:], strict=False)} for terms in passages]
+        pair, at = np.array(sorted(entries), np.int64).reshape(-1, 2).T
+        self.at = at
+        self.first = np.searchsorted(pair, np.arange(len(self.number) + 1))
+
+    def _reached(self, held: set[int]) -> set[int]:
+        """Passages in which the pairs follow each other over a long enough stretch."""
+        known = np.fromiter(held, np.int64, len(held))
+        count = self.first[known + 1] - self.first[known]
+        at = np.sort(self.at[np.repeat(self.first[known] - np.cumsum(count) + count, count) + np.arange(count.sum())])
+        cut = np.flatnonzero(np.diff(at) > 4)
+        lo, hi = at[np.r_[0, cut + 1]], at[np.r_[cut, len(at) - 1]]
+        p = lo // self.step
+        return set(p[hi - lo >= self.reach[p]].tolist())
+
+    def __call__(self, terms: list[str]) -> dict[int, list[tuple[int, int]]]:
+        """For each passage the stretches of the document that may hold enough of it."""
+        spans = {p: [(0, len(terms))] for t in self.tiny.keys() & set(terms) for p in self.tiny[t]} if self.tiny else {}
+        numbers = list(map(self.number.get, zip(terms, terms[1:], strict=False), repeat(-1)))
+        shared = [(j, n) for j, n in enumerate(numbers) if n >= 0]
+        if not shared:
+            return spans
+        for p in self._reached({n for _, n in shared}) - spans.keys():
+            own = self.own[p]
+            run: list[tuple[int, int]] = []
+            for j, n in [x for x in shared if x[1] in own] + [(len(terms) + 5, -1)]:
+                if run and j - run[-1][0] > 4:
+                    if len(run) >= self.pairs[p] and p in self._reached({n for _, n in run}):
+                        spans.setdefault(p, []).append((run[0][0], run[-1][0] + 5))
+                    run = []
+                run.append((j, n))
+        return spans
+
+
+def leaks(documents: DataFrame, id_col: str, text_col: str, items: DataFrame, item_col: str, passage_col: str, *, cover: float = COVER) -> DataFrame:
     """(id, item_id, covered): documents holding at least the share cover of an item's passage.
 
     The items are a bounded evaluation set (at most MAX_ITEMS, checked); all documents and
@@ -197,63 +252,20 @@ def leaks(documents: DataFrame, id_col: str, text_col: str, items: DataFrame, it
     held = tests.limit(MAX_ITEMS + 1).collect()
     if len(held) > MAX_ITEMS:
         raise ValueError(f"more than {MAX_ITEMS} evaluation items")
-    passages = [(r.item_id, _terms(r.text), r.text) for r in held]
+    passages = [(r.item_id, terms) for r in held if (terms := _terms(r.text))]
     texts = _normal(documents, id_col, text_col, "id")
-    wanted = set().union(*(_features(t) for _, t, _ in passages)) if passages else set()
-    frequency, total = _corpus_frequencies(texts, wanted)
-    place = {f: i for i, f in enumerate(sorted(wanted))}
-    idf = np.array([math.log((total + 1) / (frequency.get(f, 0) + 1)) + 0.1 for f in sorted(wanted)])
-    spark = documents.sparkSession
-    if not place or not total:
-        return spark.createDataFrame([], "id long, item_id long, covered double")
-    rows = pd.DataFrame([(r, place[f]) for r, (_, terms, _) in enumerate(passages) for f in _features(terms)], columns=["row", "col"])
-    rows["value"] = idf[rows.col]
-    rows = rows.groupby(["row", "col"], as_index=False).value.sum()
-    rows["value"] /= np.sqrt((rows.value**2).groupby(rows.row).transform("sum"))
-    entries = spark.createDataFrame(rows).repartition(8).select(F.col("row").cast("long"), F.col("col").cast("long"), F.col("value").cast("double"))
-    left, _ = randomised_svd(entries, len(passages), len(place), RANK)
-    matrix = (rows.row.to_numpy(), rows.col.to_numpy(), rows.value.to_numpy())
-    # Telling terms: the rarer half of all, and those that a few documents hold at most.
-    seen = np.array([frequency.get(f, 0) for f in sorted(wanted)])
-    rare = (idf >= np.quantile(idf, 0.5)) | (seen <= FEW)
-    hints_of = [{f for f in _features(terms) if rare[place[f]]} or set(_features(terms)) for _, terms, _ in passages]
-    telling = set().union(*hints_of)
+    runs = _Runs([terms for _, terms in passages], cover)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        space = _Space(place, idf, *matrix, left)
         for batch in batches:
             found: list[tuple[int, int, float]] = []
             for key, text in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 terms = _terms(text)
-                features = _features(terms)
-                if telling.isdisjoint(features):
-                    continue
-                near, starts = space.cosines(features, WINDOW, SLIDE)
-                close = near >= cosine
-                if not close.any():
-                    continue
-                best: dict[int, float] = {}
-                w, c = np.nonzero(close)
-                pairs = sorted(zip(c.tolist(), starts[w].tolist(), strict=True))
-                spans: dict[int, list[list[int]]] = {}
-                for p, s in pairs:
-                    reach = len(passages[p][1])
-                    lo, hi = max(0, s - reach), s + WINDOW + reach
-                    own = spans.setdefault(p, [])
-                    if own and lo <= own[-1][1]:
-                        own[-1][1] = hi
-                    else:
-                        own.append([lo, hi])
-                for p, own in spans.items():
-                    passage, hints = passages[p][1], hints_of[p]
-                    for lo, hi in own:
-                        piece = features[lo:hi]
-                        # The answer check: half a passage repeats some of its telling terms.
-                        if len(hints.intersection(piece)) < max(1, len(hints) // 6):
-                            continue
-                        _, size = _longest_run(passage, terms[lo:hi])
-                        best[p] = max(best.get(p, 0.0), size / len(passage))
-                found += [(key, passages[p][0], v) for p, v in best.items() if v >= cover]
+                for p, spans in runs(terms).items():
+                    item, passage = passages[p]
+                    covered = max(_longest_run(passage, terms[lo:hi])[1] for lo, hi in spans) / len(passage)
+                    if covered >= cover:
+                        found.append((key, item, covered))
             columns = list(zip(*found, strict=True)) if found else [[], [], []]
             yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.float64())], ["id", "item_id", "covered"])
 

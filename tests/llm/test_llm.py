@@ -129,3 +129,28 @@ def test_look_alikes(spark):
     assert {tuple(r) for r in lookalike.look_alike_pairs(df, "id", "text").collect()} == expected
     classes = {r.id: r.class_id for r in lookalike.canonical_classes(df, "id", "text").collect()}
     assert classes == {1: 1, 2: 1, 3: 1, 4: 1, 7: 1, 5: 5, 6: 6, 9: 9}
+
+
+def test_leaks_of_common_terms(spark):
+    # The second half of the passage is in every document: none of its terms tells.
+    rare, common = " ".join(f"seldom{i}" for i in range(12)), " ".join(f"often{i}" for i in range(12))
+    items = spark.createDataFrame([(1, f"{rare} {common}")], "item_id long, passage string")
+    df = spark.createDataFrame([(i, f"note {i} {common} end") for i in range(8)], "doc_id long, text string")
+    got = leakage.leaks(df, "doc_id", "text", items, "item_id", "passage")
+    assert rows(got.select("id", "item_id", "covered")) == [(i, 1, 0.5) for i in range(8)]
+
+
+def test_run_test_loses_no_run():
+    rng = np.random.default_rng(5)
+    for n in (1, 2, 3, 5, 8, 16, 24, 40):
+        passage = [f"w{x}" for x in rng.integers(0, 30, n)]
+        runs = leakage._Runs([["other", "words"], passage], 0.5)
+        for _ in range(200):
+            text, i = [f"x{x}" for x in range(rng.integers(0, 9))], int(rng.integers(0, n))
+            while i < n:
+                step = int(rng.integers(1, 6))
+                text += passage[i : i + step] + [f"w{x}" for x in rng.integers(0, 30, rng.integers(0, 3))]
+                i += step + int(rng.integers(0, 3))
+            whole = leakage._longest_run(passage, text)[1] / n
+            best = max((leakage._longest_run(passage, text[a:b])[1] / n for a, b in runs(text).get(1, [])), default=0)
+            assert best == whole if whole >= 0.5 else best < 0.5
