@@ -1,36 +1,25 @@
 """Problem 6: evaluation passages inside training documents.
 
-Latent semantic retrieval. The TF-IDF rows of the evaluation passages (document
-frequencies counted over the whole corpus) are factored by a randomised SVD: a random
-range finder with power iterations, its matrix products summed by Spark over the matrix
-entries. Every window of every document is folded into the latent space, compared with
-all passages by cosine, and each candidate is verified by the longest
-common run of words or characters in original order and by the share of the passage
-that the run covers.
+Every document is compared with the pairs of neighbouring terms of all passages. A test
+that loses no run names the passages and stretches that may hold enough of a passage;
+each is verified by the longest common run of words or characters in original order
+and by the share of the passage that the run covers.
 """
 
 from __future__ import annotations
 
-import math
 import re
 from collections.abc import Iterator
 from itertools import repeat
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm.lookalike import fold_lookalikes
-from corpusloom.llm.shingles import mix
-from corpusloom.session import materialize
 
 MAX_ITEMS = 20_000  # bound on the evaluation set that executors hold
-RANK, OVERSAMPLE, POWER = 320, 32, 2
-WINDOW, SLIDE = 48, 24  # terms of a document window, and from one to the next
-COSINE = 0.3
-FEW = 4  # documents
 COVER = 0.5  # share of the passage a leak holds
 # Only letters and digits become terms: these are the characters the fold changes among them.
 _FOLDED = r"[\u00ad\u0370-\u052f\u115f-\u1160\u17b4-\u17b5\u200b-\u200f\u2060-\u206f\u2e80-\u2fdf\uf900-\ufaff\ufe00-\ufe0f\ufeff\uff10-\uff19\uff21-\uff3a\uff41-\uff5a\uff66-\uff9f]"
@@ -49,119 +38,6 @@ def _normal(df: DataFrame, id_col: str, text_col: str, name: str) -> DataFrame:
     return df.where(F.col(id_col).isNotNull() & text.isNotNull()).select(F.col(id_col).cast("long").alias(name), F.lower(plain).alias("text"))
 
 
-def _features(terms: list[str]) -> list[str]:
-    """Terms as they stand, and neighbouring pairs where a term is one character."""
-    return [t if len(t) > 1 else t + n for t, n in zip(terms, [*terms[1:], ""], strict=False)]
-
-
-def _corpus_frequencies(documents: DataFrame, wanted: set[str]) -> tuple[dict[str, int], int]:
-    """In how many documents each wanted feature occurs; wanted is bounded by the evaluation set."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n: dict[str, int] = {}
-        docs = 0
-        for batch in batches:
-            for text in batch.column("text").to_pylist():
-                docs += 1
-                for f in wanted.intersection(_features(_terms(text))):
-                    n[f] = n.get(f, 0) + 1
-        n[""] = docs
-        yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64())], ["feature", "n"])
-
-    rows = documents.select("text").mapInArrow(count, "feature string, n long").groupBy("feature").agg(F.sum("n").alias("n")).collect()
-    found = {r.feature: r.n for r in rows}
-    return found, found.pop("", 0)
-
-
-def _normals(columns: np.ndarray, width: int, seed: int) -> np.ndarray:
-    """The rows of a random Gaussian matrix, each made from its number: nothing is shipped."""
-    base = mix(columns.astype(np.uint64) * np.uint64(width) + np.uint64(seed << 40))[:, None] + np.arange(width, dtype=np.uint64)[None, :]
-    u, v = mix(base), mix(base ^ np.uint64(0x5DEECE66D))
-    return np.sqrt(-2 * np.log((u >> np.uint64(11)).astype(np.float64) * 2.0**-53 + 2.0**-54)) * np.cos(2 * np.pi * (v >> np.uint64(11)).astype(np.float64) * 2.0**-53)
-
-
-def randomised_svd(entries: DataFrame, n_rows: int, n_cols: int, rank: int, seed: int = 11) -> tuple[np.ndarray, np.ndarray]:
-    """Leading left singular vectors (n_rows x rank) and singular values of the sparse matrix
-    entries (row, col, value), a row for each evaluation passage.
-
-    Entries of a column share a partition, so one Spark job multiplies by the matrix and its
-    transpose; only blocks of n_rows x rank numbers, bounded by the evaluation set, reach the
-    driver, already summed by row. Power iterations sharpen the range before the small
-    eigenproblem is solved.
-    """
-    width = min(rank + OVERSAMPLE, n_rows, n_cols)
-    by_column = materialize(entries.repartition("col"), "leakage-entries")
-
-    def product(basis: np.ndarray | None) -> np.ndarray:
-        def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            held = [tuple(batch.column(c).to_numpy() for c in ("row", "col", "value")) for batch in batches]
-            if not held:
-                return
-            row, col, value = (np.concatenate(x) for x in zip(*held, strict=True))
-            keys, place = np.unique(col, return_inverse=True)
-            if basis is None:
-                inner = _normals(keys, width, seed)
-            else:
-                inner = np.zeros((len(keys), width))
-                np.add.at(inner, place, basis[row] * value[:, None])
-            block = np.zeros((n_rows, width))
-            np.add.at(block, row, inner[place] * value[:, None])
-            used = np.unique(row)
-            yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(block[used].tolist(), pa.list_(pa.float64()))], ["i", "part"])
-
-        sums = by_column.mapInArrow(partial, "i long, part array<double>")
-        summed = sums.select("i", F.posexplode("part").alias("j", "x")).groupBy("i", "j").agg(F.sum("x").alias("x"))
-        result = np.zeros((n_rows, width))
-        for r in summed.groupBy("i").agg(F.array_sort(F.collect_list(F.struct("j", "x"))).alias("part")).toLocalIterator():
-            result[r.i] = [p.x for p in r.part]
-        return result
-
-    basis = np.linalg.qr(product(None))[0]
-    for _ in range(POWER):
-        basis = np.linalg.qr(product(basis))[0]
-    values, turn = np.linalg.eigh(basis.T @ product(basis))
-    order = [i for i in np.argsort(values)[::-1][:rank] if values[i] > 1e-9]
-    return basis @ turn[:, order], np.sqrt(values[order])
-
-
-class _Space:
-    """Cosines in the latent space between windows of features and the passages: the window is
-    folded first onto the passages, by the sparse matrix's postings, then by the singular vectors."""
-
-    def __init__(self, place: dict[str, int], idf: np.ndarray, row: np.ndarray, col: np.ndarray, value: np.ndarray, left: np.ndarray):
-        order = np.argsort(col, kind="stable")
-        self.place, self.items = place, left.shape[0]
-        self.row, self.value = row[order], value[order] * idf[col[order]]
-        self.first = np.searchsorted(col[order], np.arange(len(idf) + 1))
-        self.weight = idf**2
-        # The singular values cancel. Few passages make one matrix the shorter way, many the two steps.
-        axes = left.astype(np.float32)
-        self.turns = [axes @ axes.T] if self.items <= 2 * axes.shape[1] else [axes, np.ascontiguousarray(axes.T)]
-
-    def cosines(self, features: list[str], window: int, slide: int) -> tuple[np.ndarray, np.ndarray]:
-        """Cosines of the windows that hold any known feature with all passages, and their starts."""
-        known = np.fromiter(map(self.place.get, features, repeat(-1)), np.int64, len(features))
-        at = np.flatnonzero(known >= 0)
-        if not len(at):
-            return np.zeros((0, self.items), np.float32), np.zeros(0, np.int64)
-        starts = np.arange(0, max(1, len(features) - window + slide), slide)
-        steps, col = len(starts) + window // slide, known[at]
-        half = np.minimum(at // slide, steps - 1)
-        count = self.first[col + 1] - self.first[col]
-        entry = np.repeat(self.first[col] - np.cumsum(count) + count, count) + np.arange(count.sum())
-        on = np.bincount(np.repeat(half, count) * self.items + self.row[entry], self.value[entry], steps * self.items).reshape(steps, self.items)
-        mass = np.bincount(half, self.weight[col], steps)
-        # Half windows are added in pairs.
-        x = sum(on[i : i + len(starts)] for i in range(window // slide))
-        m = sum(mass[i : i + len(starts)] for i in range(window // slide))
-        keep = m > 0
-        # The norm is that of the features known from passages: what stands around them costs nothing.
-        x = (x[keep] / np.sqrt(m[keep])[:, None]).astype(np.float32)
-        for turn in self.turns:
-            x = x @ turn
-        return x, starts[keep]
-
-
 def _longest_run(passage: list[str], window: list[str]) -> tuple[int, int]:
     """Start and size in the passage of the longest run that the window repeats in order,
     where a changed term may stand between two equal stretches of two or more terms."""
