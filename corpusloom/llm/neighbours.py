@@ -2,7 +2,9 @@
 
 Each vector is projected several times onto a few principal directions, every
 projection is shifted and quantised, and its Hilbert key orders the collection.
-Spark range-partitions the rows of all orderings by (curve, key, id); a window
+Equal vectors stand in the orderings once, by their least id, and are ranked as members
+of their class at the end.
+Spark range-partitions the rows of all orderings by (curve, key, tie, id); a window
 sliding over each sorted partition compares every vector with its neighbours on
 the curve. The windows of all curves are merged and reranked on exact cosines.
 
@@ -17,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.session import materialize
@@ -133,6 +135,9 @@ def most_similar(
     are not compared; its 3k best over all curves are reranked. An empty table gives no rows. Extra columns are ignored.
     """
     vectors = df.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("vec")).where("id is not null and vec is not null")
+    asks = F.expr(query) if query else F.lit(True)
+    members = _classes(vectors, asks)
+    single = vectors.join(members, "id", "left").where("first is null or first = id").select("id", "vec", (F.coalesce("asked", F.lit(False)) | asks).alias("asks"))
     mean, axes = _principal(vectors, dim, min(2 * DIMS, dim))
     orders = list(_orderings(mean, axes, curves, seed))
     half = 4.0 / np.sqrt(dim)  # of the quantised range: unit vectors spread by about 1/sqrt(dim) an axis
@@ -143,6 +148,7 @@ def most_similar(
             if not len(x):
                 continue
             ids = batch.column("id").to_numpy()[rows]
+            asking = batch.column("asks").take(pa.array(rows))
             scale = np.abs(x).max(axis=1, keepdims=True) / 127
             small = np.rint(x / scale).astype(np.int8)
             error = np.linalg.norm(x - small * scale, axis=1)
@@ -151,9 +157,10 @@ def most_similar(
             for c, (way, shift) in enumerate(orders):
                 y = centred @ way
                 cells = np.clip((y / (2 * half) + 0.5 + shift) / 1.5 * (1 << BITS), 0, (1 << BITS) - 1).astype(np.int64)
+                # Within a cell a finer projection of the curve's own decides, not the id.
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(x), c, np.int32)), pa.array(hilbert_key(cells, BITS)), pa.array(ids), packed, pa.array(scale[:, 0].astype(np.float32)), pa.array((error * 1.001 + 1e-6).astype(np.float32))],
-                    ["curve", "key", "id", "small", "scale", "err"],
+                    [pa.array(np.full(len(x), c, np.int32)), pa.array(hilbert_key(cells, BITS)), pa.array(y[:, 0].astype(np.float32)), pa.array(ids), asking, packed, pa.array(scale[:, 0].astype(np.float32)), pa.array((error * 1.001 + 1e-6).astype(np.float32))],
+                    ["curve", "key", "tie", "id", "asks", "small", "scale", "err"],
                 )
 
     def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
@@ -226,8 +233,8 @@ def most_similar(
         if len(a):
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
-    lines = vectors.mapInArrow(keyed, "curve int, key long, id long, small binary, scale float, err float")
-    lines = lines.withColumn("asks", F.expr(query) if query else F.lit(True)).repartitionByRange("curve", "key", "id").sortWithinPartitions("curve", "key", "id")
+    lines = single.mapInArrow(keyed, "curve int, key long, tie float, id long, asks boolean, small binary, scale float, err float")
+    lines = lines.repartitionByRange("curve", "key", "tie", "id").sortWithinPartitions("curve", "key", "tie", "id")
     if query and min_similarity is None:
         # Only rows that ask pay for a window, and only their best by rounded values are reranked.
         near = lines.mapInArrow(asked, "a long, b long, s float").groupBy("a", "b").agg(F.max("s").alias("s"))
@@ -236,27 +243,53 @@ def most_similar(
     else:
         near = lines.mapInArrow(windows, "a long, b long")
     pairs = materialize(near.distinct(), "neighbours")
-    return _rerank(pairs, vectors, k, min_similarity, query)
+    return _rerank(pairs, vectors, members, dim, k, min_similarity, query)
 
 
-def _rerank(pairs: DataFrame, vectors: DataFrame, k: int, min_similarity: float | None, query: str | None) -> DataFrame:
-    """Exact cosines of the pairs, and the k best of each id."""
+def _classes(vectors: DataFrame, asks: Column) -> DataFrame:
+    """(id, first, asked): the ids of vectors that occur more than once, the least id of the
+    same vector and whether any of them asks."""
+    ids = vectors.select("id", F.xxhash64("vec").alias("h"), F.hash("vec").alias("g"))
+    found = ids.groupBy("h", "g").agg(F.min("id").alias("first"), F.max("id").alias("last"), F.max(asks).alias("asked")).where("first < last")
+    return materialize(ids.join(found, ["h", "g"]).select("id", "first", "asked").distinct(), "neighbours-classes")
+
+
+def _rerank(pairs: DataFrame, vectors: DataFrame, members: DataFrame, dim: int, k: int, min_similarity: float | None, query: str | None) -> DataFrame:
+    """Exact cosines of the pairs of first ids, and the k best of each id."""
+    # Members of a class are neighbours of each other; of no class are more than its k + 1 least ids needed.
+    pairs = pairs.unionByName(members.where("id = first and asked").select(F.col("id").alias("a"), F.col("id").alias("b")))
+    least = Window.partitionBy("first").orderBy("id")
+    few = members.withColumn("place", F.row_number().over(least)).where(F.col("place") <= k + 1).select(F.col("first").alias("neighbour"), F.col("id").alias("member"))
     needed = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     double = F.transform("vec", lambda v: v.cast("double"))
     unit = vectors.join(needed, "id", "left_semi").select("id", double.alias("vec"))
-    unit = materialize(unit.dropDuplicates(["id"]).withColumn("norm", F.sqrt(F.aggregate("vec", F.lit(0.0), lambda s, v: s + v * v))), "neighbours-vectors")
+    unit = unit.where(F.size("vec") == dim).dropDuplicates(["id"]).withColumn("norm", F.sqrt(F.aggregate("vec", F.lit(0.0), lambda s, v: s + v * v)))
+    # Classes of vectors that are not usable have no pairs: their norms are zero, infinite or NaN.
+    unit = materialize(unit.where((F.col("norm") > 0) & (F.col("norm") < float("inf"))), "neighbours-vectors")
     a = unit.select(F.col("id").alias("a"), F.col("vec").alias("u"), F.col("norm").alias("p"))
     b = unit.select(F.col("id").alias("b"), F.col("vec").alias("v"), F.col("norm").alias("q"))
     dot = F.aggregate(F.zip_with("u", "v", lambda x, y: x * y), F.lit(0.0), lambda s, v: s + v)
     scored = pairs.join(a, "a").join(b, "b").select("a", "b", (dot / (F.col("p") * F.col("q"))).alias("similarity"))
     if min_similarity is not None:
         scored = scored.where(F.col("similarity") >= min_similarity)
-    way = F.explode(F.array(F.struct(F.col("a").alias("id"), F.col("b").alias("neighbour")), F.struct(F.col("b").alias("id"), F.col("a").alias("neighbour"))))
+    one, two = (F.struct(F.col(x).alias("id"), F.col(y).alias("neighbour")) for x, y in ("ab", "ba"))
+    way = F.explode(F.when(F.col("a") == F.col("b"), F.array(one)).otherwise(F.array(one, two)))
     both = scored.select(way.alias("w"), "similarity").select("w.*", "similarity")
     if query:
-        both = both.where(query)
+        asking = members.where("id = first and asked").select("id")
+        both = both.where(query).unionByName(both.where(f"not coalesce({query}, false)").join(asking, "id", "left_semi"))
+    both = both.join(few, "neighbour", "left").select("id", F.coalesce("member", "neighbour").alias("neighbour"), "similarity")
     best = Window.partitionBy("id").orderBy(F.desc("similarity"), "neighbour")
-    return both.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    # One more than asked for: each member leaves itself out.
+    ranked = both.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k + 1)
+    lists = ranked.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("rank", "neighbour", "similarity"))).alias("near"))
+    rest = lists.withColumnRenamed("id", "first").join(members.where("id <> first").select("id", "first"), "first").select("id", "near")
+    lists = lists.unionByName(rest)
+    if query:
+        lists = lists.where(query)
+    near = F.slice(F.filter("near", lambda x: x["neighbour"] != F.col("id")), 1, k)
+    rows = lists.select("id", F.posexplode(near).alias("place", "x"))
+    return rows.select("id", "x.neighbour", "x.similarity", (F.col("place") + 1).alias("rank"))
 
 
 def similar_pairs(df: DataFrame, id_col: str, vec_col: str, *, k: int = 10, min_similarity: float = 0.94, **options) -> DataFrame:

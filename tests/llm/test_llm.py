@@ -30,6 +30,32 @@ def test_neighbours_against_brute_force(spark):
     assert neighbours.similar_pairs(df.limit(0), "vec_id", "embedding", dim=16).count() == 0
 
 
+def test_neighbours_of_copied_vectors(spark):
+    # More than half of the rows are one vector, and more copies than a window holds.
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(200, 16))
+    x[60:] = x[0] + 0.3 * rng.normal(size=(140, 16))
+    ids = rng.permutation(450).tolist()
+    vecs = [*x.tolist(), *[x[0].tolist()] * 250]
+    unusable = [(900 + i, v) for i, v in enumerate([[0.0] * 16] * 2 + [[1.0]] * 2 + [[float("nan")] * 16] * 2)]
+    df = spark.createDataFrame([*zip(ids, vecs, strict=True), *unusable], "vec_id long, embedding array<float>")
+    unit = np.array(vecs, np.float32).astype(float)
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    s = np.round(unit @ unit.T, 9)
+    want = {}
+    for i, own in enumerate(ids):
+        want[own] = [n for _, n in sorted((-s[i, j], n) for j, n in enumerate(ids) if j != i)[:5]]
+    for query in (None, "id % 3 = 0"):
+        got = {}
+        for r in neighbours.most_similar(df, "vec_id", "embedding", 5, dim=16, window=100, query=query).orderBy("id", "rank").collect():
+            got.setdefault(r.id, []).append(r.neighbour)
+        copies = {ids[0], *ids[200:]}
+        asked = {i for i in ids if not query or i % 3 == 0}
+        assert set(got) == asked
+        assert all(got[i] == want[i] for i in asked & copies)
+        assert np.mean([len(set(got[i]) & set(want[i])) / 5 for i in asked]) > 0.97
+
+
 def test_hilbert_steps_are_neighbours():
     grid = np.stack(np.meshgrid(*[np.arange(8)] * 3, indexing="ij"), -1).reshape(-1, 3)
     key = neighbours.hilbert_key(grid, 3)
