@@ -128,32 +128,41 @@ def _tokens(text: str) -> tuple[list[str], list[str], bool]:
 
 
 def _scan(rows: DataFrame) -> DataFrame:
-    """Vocabulary counts (n set) and document tokens (tab and row_key set) in one pass."""
+    """Vocabulary counts (n set) and document tokens (tab and row_key set) in one pass over
+    distinct texts; extra holds what the further copies of a text add."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter[str] = Counter()
+        copied: Counter[str] = Counter()
 
-        def rows_of(tab, key, token, n):
-            return pa.RecordBatch.from_arrays([pa.array(tab, pa.string()), pa.array(key, pa.int64()), pa.array(token, pa.string()), pa.array(n, pa.int64())], ["tab", "row_key", "token", "n"])
+        def rows_of(tab, key, token, n, extra):
+            return pa.RecordBatch.from_arrays([pa.array(tab, pa.string()), pa.array(key, pa.int64()), pa.array(token, pa.string()), pa.array(n, pa.int64()), pa.array(extra, pa.int64())], ["tab", "row_key", "token", "n", "extra"])
+
+        def known_rows():
+            return rows_of([None] * len(counts), [None] * len(counts), list(counts), list(counts.values()), [copied[t] for t in counts])
 
         for batch in batches:
-            tab, key, token = [], [], []
-            for t, k, text in zip(*(batch.column(c).to_pylist() for c in ("tab", "row_key", "text")), strict=True):
+            tab, key, token, extra = [], [], [], []
+            for t, k, text, copies in zip(*(batch.column(c).to_pylist() for c in ("tab", "row_key", "text", "copies")), strict=True):
                 if text.isascii():
                     continue
                 known, asked, lost = _tokens(text)
                 counts.update(known)
+                for word in known if copies > 1 else ():
+                    copied[word] += copies - 1
                 asked += [_LOST] * lost
                 tab += [t] * len(asked)
                 key += [k] * len(asked)
                 token += asked
-            yield rows_of(tab, key, token, [None] * len(token))
+                extra += [copies - 1] * len(asked)
+            yield rows_of(tab, key, token, [None] * len(token), extra)
             if len(counts) > VOCABULARY_AT_ONCE:
-                yield rows_of([None] * len(counts), [None] * len(counts), list(counts), list(counts.values()))
+                yield known_rows()
                 counts.clear()
-        yield rows_of([None] * len(counts), [None] * len(counts), list(counts), list(counts.values()))
+                copied.clear()
+        yield known_rows()
 
-    return rows.mapInArrow(scan, "tab string, row_key long, token string, n long")
+    return rows.mapInArrow(scan, "tab string, row_key long, token string, n long, extra long")
 
 
 def _bad_words(vocabulary: DataFrame) -> DataFrame:
@@ -161,32 +170,49 @@ def _bad_words(vocabulary: DataFrame) -> DataFrame:
 
     def garble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            form, original, n = [], [], []
-            for word, count in zip(batch.column("token").to_pylist(), batch.column("n").to_pylist(), strict=True):
+            form, original, n, extra = [], [], [], []
+            for word, count, more in zip(*(batch.column(c).to_pylist() for c in ("token", "n", "extra")), strict=True):
                 forms = garbled_forms(word)
                 form += forms
                 original += [word] * len(forms)
                 n += [count] * len(forms)
-            yield pa.RecordBatch.from_arrays([pa.array(form, pa.string()), pa.array(original, pa.string()), pa.array(n, pa.int64())], ["token", "original", "n"])
+                extra += [more] * len(forms)
+            yield pa.RecordBatch.from_arrays([pa.array(form, pa.string()), pa.array(original, pa.string()), pa.array(n, pa.int64()), pa.array(extra, pa.int64())], ["token", "original", "n", "extra"])
+
+    return vocabulary.mapInArrow(garble, "token string, original string, n long, extra long")
+
 
-    return vocabulary.mapInArrow(garble, "token string, original string, n long")
+def _copies(rows: DataFrame) -> DataFrame:
+    """(tab, row_key, h, g, first, copies): the records whose exact text occurs again, by its
+    hashes, with the first of them and how many there are."""
+    keys = rows.select("tab", "row_key", F.xxhash64("text").alias("h"), F.hash("text").alias("g"))
+    found = keys.groupBy("h", "g").agg(F.min(F.struct("tab", "row_key")).alias("first"), F.count("*").alias("copies")).where("copies > 1")
+    return materialize(keys.distinct().join(found, ["h", "g"]).select("tab", "row_key", "h", "g", "first", "copies"), "garbled-copies")
 
 
-def _hits(rows: DataFrame) -> DataFrame:
-    """(tab, row_key, token, original): verified garbled tokens; original null where lost."""
-    scanned = materialize(_scan(rows), "garbled-scan")
-    vocabulary = scanned.where("n is not null").groupBy("token").agg(F.sum("n").alias("n"))
+def _hits(rows: DataFrame, copies: DataFrame) -> DataFrame:
+    """(tab, row_key, token, original): verified garbled tokens of the first record of each
+    text; original null where lost."""
+    hashed = rows.select("tab", "row_key", "text", F.xxhash64("text").alias("h"), F.hash("text").alias("g"))
+    once = hashed.join(copies, ["tab", "row_key", "h", "g"], "left").where("first is null or (first.tab = tab and first.row_key = row_key)")
+    scanned = materialize(_scan(once.select("tab", "row_key", "text", F.coalesce("copies", F.lit(1)).alias("copies"))), "garbled-scan")
+    vocabulary = scanned.where("n is not null").groupBy("token").agg(F.sum("n").alias("n"), F.sum("extra").alias("extra"))
     vocabulary = materialize(vocabulary, "garbled-vocabulary")
     # Two lost characters read once more through the wrong code page are a form, too.
-    lost = rows.sparkSession.createDataFrame([(_LOST * 2, 1 << 40), (_LOST, 1 << 40)], "token string, n long")
+    lost = rows.sparkSession.createDataFrame([(_LOST * 2, 1 << 40, 0), (_LOST, 1 << 40, 0)], "token string, n long, extra long")
     forms = _bad_words(vocabulary.unionByName(lost))
-    asked = scanned.where("n is null").select("tab", "row_key", "token")
-    used = asked.groupBy("token").agg(F.count("*").alias("uses"))
-    # A form counts where it is no better known than its original; the best-known original wins.
-    best = Window.partitionBy("token").orderBy(F.desc("n"), "original")
+    asked = scanned.where("n is null").select("tab", "row_key", "token", "extra")
+    used = asked.groupBy("token").agg(F.count("*").alias("uses"), F.sum("extra").alias("more_uses"))
+    # A form counts where it is no better known than its original, in distinct texts or in all
+    # records: copies of the one or the other hide nothing. The best-known original wins.
+    best = Window.partitionBy("token").orderBy(F.desc(F.col("n") + F.col("extra")), "original")
+    ratio = F.when(F.length("original") == 1, SINGLE_RATIO).otherwise(1)
+    own, own_all = F.coalesce("own", F.lit(0)), F.coalesce(F.col("own") + F.col("own_extra"), F.lit(0))
+    n_all, uses_all = F.col("n") + F.col("extra"), F.col("uses") + F.col("more_uses")
+    better = ((F.col("n") > own) & (F.col("n") > F.col("uses") * ratio)) | ((n_all > own_all) & (n_all > uses_all * ratio))
     bad = (
-        forms.join(used, "token").join(vocabulary.select("token", F.col("n").alias("own")), "token", "left")
-        .where(F.col("n") > F.coalesce("own", F.lit(0))).where(F.col("n") > F.col("uses") * F.when(F.length("original") == 1, SINGLE_RATIO).otherwise(1))
+        forms.join(used, "token").join(vocabulary.select("token", F.col("n").alias("own"), F.col("extra").alias("own_extra")), "token", "left")
+        .where(better)
         .withColumn("place", F.row_number().over(best)).where("place = 1").select("token", "original")
     )
     found = asked.where(F.col("token") != _LOST).join(bad, "token").select("tab", "row_key", "token", "original")
@@ -194,13 +220,22 @@ def _hits(rows: DataFrame) -> DataFrame:
     return found.unionByName(marks)
 
 
+def _with_copies(found: DataFrame, copies: DataFrame) -> DataFrame:
+    """The rows (tab, row_key, ...) of first records, and the same for their copies."""
+    others = copies.where("first.tab <> tab or first.row_key <> row_key").select("first", F.col("tab").alias("own_tab"), F.col("row_key").alias("own_key"))
+    again = found.withColumn("first", F.struct("tab", "row_key")).join(others, "first").withColumns({"tab": F.col("own_tab"), "row_key": F.col("own_key")})
+    return found.unionByName(again.drop("first", "own_tab", "own_key"))
+
+
 def garbled_records(rows: DataFrame) -> DataFrame:
     """(tab, row_key) of the records of rows (tab, row_key, text) holding garbled text.
 
     Rows with a null key or text and plain ASCII texts are no case; a key counts
     once; an empty table gives no rows.
     """
-    return _hits(rows.where("row_key is not null and text is not null")).select("tab", "row_key").distinct()
+    rows = rows.where("row_key is not null and text is not null")
+    copies = _copies(rows)
+    return _with_copies(_hits(rows, copies).select("tab", "row_key").distinct(), copies).distinct()
 
 
 def restore(rows: DataFrame) -> DataFrame:
@@ -208,7 +243,9 @@ def restore(rows: DataFrame) -> DataFrame:
     token replaced by its original, longest first from left to right; complete is false
     where lost characters remain."""
     rows = rows.where("row_key is not null and text is not null")
-    pairs = _hits(rows).groupBy("tab", "row_key").agg(F.collect_set(F.struct("token", "original")).alias("found"))
+    copies = _copies(rows)
+    pairs = _hits(rows, copies).groupBy("tab", "row_key").agg(F.collect_set(F.struct("token", "original")).alias("found"))
+    pairs = _with_copies(pairs, copies).groupBy("tab", "row_key").agg(F.array_distinct(F.flatten(F.collect_list("found"))).alias("found"))
 
     @F.pandas_udf("string")
     def replaced(text: pd.Series, found: pd.Series) -> pd.Series:

@@ -75,6 +75,15 @@ def test_garbled_text(spark):
     assert garbled.garbled_records(df.limit(0)).count() == 0
 
 
+def test_garbled_copies(spark):
+    # Most rows are copies of one garbled text.
+    clean = [("d", i, f"Die Größe der Fläche Nummer {i} ist bekannt") for i in range(20)]
+    bad = "Die Größe der Fläche".encode().decode("latin-1")
+    df = spark.createDataFrame(clean + [("d", 100 + i, bad) for i in range(30)], "tab string, row_key long, text string")
+    assert rows(garbled.garbled_records(df)) == [("d", 100 + i) for i in range(30)]
+    assert {(r.row_key, r.restored) for r in garbled.restore(df).collect()} == {(100 + i, "Die Größe der Fläche") for i in range(30)}
+
+
 def test_sentences(spark):
     data = [
         (1, "# A. heading. Here\n\nDr. K. Bo wrote a.b_1.py at 3.5 p.m. on Monday. Next one,\nwrapped! He said “Stop. Go!” and left.", "x"),
