@@ -1,13 +1,16 @@
 """Problem 6: evaluation passages inside training documents.
 
-Every document is compared with the pairs of neighbouring terms of all passages. A test
-that loses no run names the passages and stretches that may hold enough of a passage;
-each is verified by the longest common run of words or characters in original order
-and by the share of the passage that the run covers.
+Latent semantic retrieval: the TF-IDF vectors of corpus passages are factored by a
+distributed randomised SVD. Segments of every evaluation passage and windows of every
+document are projected into its leading directions, and the cosine there chooses the
+candidate passages of a document. Each candidate is verified by the longest common run
+in original order; a candidate without such a run is a paraphrase if most of the passage
+follows in order (longest common subsequence) and the terms that answer its question occur.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 from itertools import repeat
@@ -18,11 +21,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm.lookalike import fold_lookalikes
+from corpusloom.session import materialize
 
-MAX_ITEMS = 20_000  # bound on the evaluation set that executors hold
+MAX_ITEMS = 5_000  # evaluation items searched for in one pass; more take further passes
 COVER = 0.5  # share of the passage a leak holds
+ANSWERED = 0.8  # share of an item's answer that a paraphrase holds
+RANK = 64  # directions of the latent space
+SAMPLE = 5_000  # about so many distinct texts fit the directions; all texts are searched
+NEAR = 0.75  # latent cosine of a window and a segment that makes a candidate
+BLOCK = 32  # terms of a corpus passage
+PARTS = 16  # tasks that share the factoring of the sample
+AT_ONCE = 4_096  # terms projected in one step: bounds the memory of a task
 # Only letters and digits become terms: these are the characters the fold changes among them.
-_FOLDED = r"[\u00ad\u0370-\u052f\u115f-\u1160\u17b4-\u17b5\u200b-\u200f\u2060-\u206f\u2e80-\u2fdf\uf900-\ufaff\ufe00-\ufe0f\ufeff\uff10-\uff19\uff21-\uff3a\uff41-\uff5a\uff66-\uff9f]"
+_FOLDED = r"[­Ͱ-ԯᅟ-ᅠ឴-឵​-‏⁠-⁯⺀-⿟豈-﫿︀-️﻿０-９Ａ-Ｚａ-ｚｦ-ﾟ]"
 _TERM = re.compile(r"[A-Za-z0-9À-ɏͰ-ӿऀ-ॿ]+|[⺀-鿿ぁ-ヿ฀-๿豈-﫿]")
 
 
@@ -98,14 +109,14 @@ class _Runs:
         p = lo // self.step
         return set(p[hi - lo >= self.reach[p]].tolist())
 
-    def __call__(self, terms: list[str]) -> dict[int, list[tuple[int, int]]]:
-        """For each passage the stretches of the document that may hold enough of it."""
-        spans = {p: [(0, len(terms))] for t in self.tiny.keys() & set(terms) for p in self.tiny[t]} if self.tiny else {}
+    def __call__(self, terms: list[str], among: set[int]) -> dict[int, list[tuple[int, int]]]:
+        """For each of the passages among the stretches of the document that may hold enough of it."""
+        spans = {p: [(0, len(terms))] for t in self.tiny.keys() & set(terms) for p in self.tiny[t] & among} if self.tiny else {}
         numbers = list(map(self.number.get, zip(terms, terms[1:], strict=False), repeat(-1)))
         shared = [(j, n) for j, n in enumerate(numbers) if n >= 0]
         if not shared:
             return spans
-        for p in self._reached({n for _, n in shared}) - spans.keys():
+        for p in (self._reached({n for _, n in shared}) & among) - spans.keys():
             own = self.own[p]
             run: list[tuple[int, int]] = []
             for j, n in [x for x in shared if x[1] in own] + [(len(terms) + 5, -1)]:
@@ -117,32 +128,240 @@ class _Runs:
         return spans
 
 
-def leaks(documents: DataFrame, id_col: str, text_col: str, items: DataFrame, item_col: str, passage_col: str, *, cover: float = COVER) -> DataFrame:
-    """(id, item_id, covered): documents holding at least the share cover of an item's passage.
+def _common_in_order(passage: list[str], text: list[str]) -> int:
+    """Length of the longest common subsequence, one bit a term of the passage."""
+    at: dict[str, int] = {}
+    for i, term in enumerate(passage):
+        at[term] = at.get(term, 0) | 1 << i
+    full = (1 << len(passage)) - 1
+    free = full
+    for term in text:
+        met = free & at.get(term, 0)
+        free = ((free + met) | (free - met)) & full
+    return len(passage) - free.bit_count()
+
+
+def _size(length: int) -> int:
+    """Terms of a segment: the largest power of the root of two within a quarter of the passage,
+    so that half of a passage holds at least one whole segment."""
+    return int(2 ** (math.floor(2 * math.log2(max(1.0, length / 4))) / 2))
+
+
+def _add_up(parts: DataFrame, shape: tuple[int, int]) -> np.ndarray:
+    """The sum of the matrices that the PARTS tasks hand over as bytes; bounded by the items of a pass."""
+    total = np.zeros(shape)
+    for row in parts.collect():
+        total += np.frombuffer(row.m, np.float32).reshape(shape)
+    return total
+
+
+def _gram(blocks: DataFrame, basis: np.ndarray, scale: np.ndarray) -> np.ndarray:
+    """A'A basis for the unit TF-IDF rows A of the corpus passages: one pass over the blocks."""
+    width = basis.shape[1]
+    held = blocks.sparkSession.sparkContext.broadcast((basis.astype(np.float32), scale.astype(np.float32)))
+
+    def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        q, idf = held.value
+        out = np.zeros(q.shape, np.float32)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            lists = batch.column("terms")
+            offsets = lists.offsets.to_numpy()
+            term = lists.values.to_numpy()[offsets[0] : offsets[-1]]
+            first, row = offsets[:-1] - offsets[0], np.repeat(np.arange(batch.num_rows), np.diff(offsets))
+            value = idf[term] / np.sqrt(np.add.reduceat(idf[term] ** 2, first))[row]
+            order = np.argsort(term, kind="stable")
+            own, at = np.unique(term[order], return_index=True)
+            for lo in range(0, width, 16):
+                y = np.add.reduceat(q[term, lo : lo + 16] * value[:, None], first)
+                out[own, lo : lo + 16] += np.add.reduceat(y[row[order]] * value[order][:, None], at)
+        yield pa.RecordBatch.from_arrays([pa.array([out.tobytes()], pa.binary())], ["m"])
+
+    return _add_up(blocks.mapInArrow(multiply, "m binary"), basis.shape)
+
+
+def latent_space(texts: DataFrame, passages: list[list[str]], number: dict[str, int], *, rank: int = RANK, sample: int = SAMPLE) -> tuple[np.ndarray, float]:
+    """(projection, kept): for each passage term its weighted row in the latent space, and the
+    share of the sampled passages' energy that the space keeps.
+
+    Document frequencies are counted over all texts. The directions are those of a randomised
+    SVD of the TF-IDF corpus passages, in the terms that occur in evaluation passages (no other
+    takes part in a cosine), fitted on about so many distinct texts and on the evaluation passages.
+    """
+    spark, m = texts.sparkSession, len(number)
+    numbers = spark.sparkContext.broadcast(number)
+
+    def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        count, rows = np.zeros(m + 1, np.int64), 0
+        for batch in batches:
+            rows += batch.num_rows
+            for text in batch.column("text").to_pylist():
+                held = [numbers.value.get(t, m) for t in set(_terms(text))]
+                count[held] += 1
+        count[m] = rows
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(m + 1)), pa.array(count)], ["term", "n"])
+
+    found = texts.select("text").mapInArrow(frequencies, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()
+    df = np.zeros(m + 1)
+    for r in found:  # one row a passage term: bounded by the evaluation set
+        df[r.term] = r.n
+    idf = np.log((df[m] + 1) / (df[:m] + 1)) + 1
+
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for text in batch.column("text").to_pylist():
+                held = [n for t in _terms(text) if (n := numbers.value.get(t)) is not None]
+                out += [held[i : i + BLOCK] for i in range(0, len(held), BLOCK)]
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.list_(pa.int32()))], ["terms"])
+
+    share = max(1, round(df[m] / sample))
+    drawn = texts.select("text", F.xxhash64("text").alias("h")).where(F.pmod("h", F.lit(share)) == 0).groupBy("h").agg(F.first("text").alias("text"))
+    own = spark.createDataFrame([(" ".join(p),) for p in passages], "text string")
+    rows = materialize(drawn.select("text").unionByName(own).repartition(PARTS).mapInArrow(blocks, "terms array<int>"), "leak-passages")
+    # Subspace iteration: each pass multiplies by A'A, the last one gives the Ritz values.
+    basis = np.random.default_rng(11).normal(size=(m, min(m, rank + 16)))
+    for _ in range(2):
+        basis = np.linalg.qr(_gram(rows, basis, idf))[0]
+    image = _gram(rows, basis, idf)
+    energy, turn = np.linalg.eigh(basis.T @ image)
+    order = np.argsort(energy)[::-1][:rank]
+    kept = float(energy[order].sum() / max(1, rows.where("size(terms) > 0").count()))
+    return (basis @ turn[:, order] * idf[:, None]).astype(np.float32), kept
+
+
+class _Search:
+    """Latent cosines of a few documents' windows with the segments of all passages."""
+
+    def __init__(self, projection: np.ndarray, passages: list[np.ndarray], near: float):
+        self.rows = np.vstack([projection, np.zeros((1, projection.shape[1]), np.float32)])
+        self.near = near
+        sizes = np.array([_size(len(p)) for p in passages])
+        self.segments = {}
+        for size in np.unique(sizes).tolist():
+            owner = [(p, at) for p in np.flatnonzero(sizes == size).tolist() for at in range(0, len(passages[p]) - size + 1, size)]
+            vectors = np.stack([self.rows[passages[p][at : at + size]].sum(axis=0) for p, at in owner])
+            own, first = np.unique([p for p, _ in owner], return_index=True)
+            self.segments[size] = own, first, (vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-9)).T
+        self.longest = max(self.segments, default=1)
 
-    The items are a bounded evaluation set (at most MAX_ITEMS, checked); all documents and
-    whole texts are searched. Null ids, texts and passages, and passages without a term,
-    give no row; a repeated id counts once for an item, with its best cover. Extra columns are ignored.
+    def __call__(self, docs: list[np.ndarray]) -> list[dict[int, tuple[float, float]]]:
+        """For each document (term numbers) its candidate passages with their best cosine and
+        the share of their segments that are near."""
+        found: list[dict[int, tuple[float, float]]] = [{} for _ in docs]
+        # Long documents are taken in overlapping slices: memory is bounded, no window is lost.
+        slices = [(d, terms[lo : lo + AT_ONCE + self.longest]) for d, terms in enumerate(docs) for lo in range(0, max(1, len(terms)), AT_ONCE)]
+        group, total = [], 0
+        for one in [*slices, None]:
+            if one is not None and (not group or total + len(one[1]) <= AT_ONCE):
+                group.append(one)
+                total += len(one[1])
+                continue
+            self._compare(group, found)
+            group, total = [one], 0 if one is None else len(one[1])
+        return found
+
+    def _compare(self, group: list[tuple[int, np.ndarray]], found: list[dict[int, tuple[float, float]]]) -> None:
+        if not group:
+            return
+        sizes = np.array([len(t) for _, t in group])
+        ends = np.cumsum(sizes)
+        sums = np.zeros((self.rows.shape[1], ends[-1] + 1), np.float32)
+        np.cumsum(self.rows[np.concatenate([t for _, t in group])].T.copy(), axis=1, out=sums[:, 1:])
+        sums = sums.T.copy()
+        for size, (own, first_of, vectors) in self.segments.items():
+            step = max(1, size // 2)
+            count = np.maximum(1, -(-(sizes - size) // step) + 1)
+            first = np.cumsum(count) - count
+            place = np.arange(count.sum()) - np.repeat(first, count)
+            stop = np.repeat(ends, count)
+            start = np.minimum(np.repeat(ends - sizes, count) + place * step, np.maximum(stop - size, np.repeat(ends - sizes, count)))
+            windows = sums[np.minimum(start + size, stop)] - sums[start]
+            windows /= np.maximum(np.linalg.norm(windows, axis=1, keepdims=True), 1e-6)
+            best = np.maximum.reduceat(windows @ vectors, first, axis=0)
+            best = best.T.copy()
+            share = np.add.reduceat((best >= self.near).astype(np.float32), first_of, axis=0) / np.diff([*first_of, len(best)])[:, None]
+            best = np.maximum.reduceat(best, first_of, axis=0)
+            column, at = np.nonzero(share)
+            for doc, p, *now in zip(at.tolist(), own[column].tolist(), best[column, at].tolist(), share[column, at].tolist(), strict=True):
+                held = found[group[doc][0]]
+                held[p] = tuple(map(max, held.get(p, (-1.0, 0.0)), now))
+
+
+def leaks(
+    documents: DataFrame, id_col: str, text_col: str, items: DataFrame, item_col: str, passage_col: str, question_col: str | None = None, *, cover: float = COVER, rank: int = RANK, near: float = NEAR
+) -> DataFrame:
+    """(id, item_id, kind, covered, in_order, answered, cosine): the documents that hold an item's passage.
+
+    kind is 'run' where the document repeats at least the share cover of the passage as one run;
+    else 'paraphrase' where that share of the passage's segments is near, at least that share follows
+    in order and ANSWERED of the answer (terms of the passage that its question lacks, the rarer half)
+    occurs in one stretch of twice the passage's length. Candidates are all
+    passages of which a segment has a latent cosine of at least near with a window of the document.
+    All documents and whole texts are searched, MAX_ITEMS items in a pass. Null ids, texts and
+    passages, and passages without a term, give no row; a repeated id counts once for an item,
+    with its best cover. Extra columns are ignored.
     """
-    tests = _normal(items, item_col, passage_col, "item_id").dropDuplicates(["item_id", "text"])
-    held = tests.limit(MAX_ITEMS + 1).collect()
-    if len(held) > MAX_ITEMS:
-        raise ValueError(f"more than {MAX_ITEMS} evaluation items")
-    passages = [(r.item_id, terms) for r in held if (terms := _terms(r.text))]
+    asked = F.col(question_col) if question_col else F.lit(None).cast("string")
+    tests = _normal(items, item_col, passage_col, "item_id")
+    questions = _normal(items.withColumn("_question", F.coalesce(asked, F.lit(""))), item_col, "_question", "item_id").groupBy("item_id").agg(F.min("text").alias("question"))
+    tests = tests.dropDuplicates(["item_id", "text"]).join(questions, "item_id", "left")
+    passes = max(1, math.ceil(tests.count() / MAX_ITEMS))
     texts = _normal(documents, id_col, text_col, "id")
-    runs = _Runs([terms for _, terms in passages], cover)
+    found = None
+    for i in range(passes):
+        held = tests.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == i).collect()
+        part = _leaks_of(texts, [(r.item_id, terms, set(_terms(r.question or ""))) for r in held if (terms := _terms(r.text))], cover, rank, near)
+        found = part if found is None else found.unionByName(part)
+    best = found.groupBy("id", "item_id").agg(F.max(F.struct("covered", "in_order", "answered", "cosine")).alias("b")).select("id", "item_id", "b.*")
+    return best.select("id", "item_id", F.when(F.col("covered") >= cover, "run").otherwise("paraphrase").alias("kind"), "covered", "in_order", "answered", "cosine")
+
+
+def _leaks_of(texts: DataFrame, passages: list[tuple[int, list[str], set[str]]], cover: float, rank: int, near: float) -> DataFrame:
+    schema = "id long, item_id long, covered double, in_order double, answered double, cosine double"
+    if not passages:
+        return texts.sparkSession.createDataFrame([], schema)
+    number: dict[str, int] = {}
+    for _, terms, _ in passages:
+        for t in terms:
+            number.setdefault(t, len(number))
+    projection, _ = latent_space(texts, [terms for _, terms, _ in passages], number, rank=rank)
+    weight = np.linalg.norm(projection, axis=1)
+    answers = []
+    for _, terms, question in passages:
+        rest = sorted(set(terms) - question, key=lambda t: (-weight[number[t]], t))
+        answers.append(set(rest[: -(-len(rest) // 2)]))
+    held = texts.sparkSession.sparkContext.broadcast((passages, number, projection, answers))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        passages, number, projection, answers = held.value
+        runs = _Runs([terms for _, terms, _ in passages], cover)
+        latent = _Search(projection, [np.array([number[t] for t in terms]) for _, terms, _ in passages], near)
+        unknown = len(number)
         for batch in batches:
-            found: list[tuple[int, int, float]] = []
-            for key, text in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                terms = _terms(text)
-                for p, spans in runs(terms).items():
-                    item, passage = passages[p]
-                    covered = max(_longest_run(passage, terms[lo:hi])[1] for lo, hi in spans) / len(passage)
-                    if covered >= cover:
-                        found.append((key, item, covered))
-            columns = list(zip(*found, strict=True)) if found else [[], [], []]
-            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.float64())], ["id", "item_id", "covered"])
-
-    return texts.mapInArrow(search, "id long, item_id long, covered double").groupBy("id", "item_id").agg(F.max("covered").alias("covered"))
+            found: list[tuple] = []
+            docs = [_terms(t) for t in batch.column("text").to_pylist()]
+            near_ones = latent([np.fromiter(map(number.get, d, repeat(unknown)), np.int64, len(d)) for d in docs])
+            for key, terms, among in zip(batch.column("id").to_pylist(), docs, near_ones, strict=True):
+                if not among:
+                    continue
+                spans, own = runs(terms, among.keys()), set(terms)
+                for p, (cosine, share) in among.items():
+                    item, passage, _ = passages[p]
+                    covered = max((_longest_run(passage, terms[lo:hi])[1] for lo, hi in spans.get(p, ())), default=0) / len(passage)
+                    answer = answers[p]
+                    answered = len(answer & own) / max(1, len(answer))
+                    in_order = 0.0
+                    # A paraphrase is near in most of the passage, not in one segment.
+                    if covered >= cover or (answered >= ANSWERED and share >= cover):
+                        size, least = len(passage), 0 if covered >= cover else ANSWERED * len(answer)
+                        stretches = [terms[at : at + 2 * size] for at in range(0, max(1, len(terms) - size), size)]
+                        in_order = max((_common_in_order(passage, x) for x in stretches if len(answer.intersection(x)) >= least), default=0) / size
+                    if covered >= cover or in_order >= cover:
+                        found.append((key, item, covered, in_order, answered, cosine))
+            columns = list(zip(*found, strict=True)) if found else [[] for _ in range(6)]
+            kinds = (pa.int64(), pa.int64(), *[pa.float64()] * 4)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], [f.split()[0] for f in schema.split(", ")])
+
+    return texts.mapInArrow(search, schema)

@@ -101,17 +101,18 @@ def p4_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES |= {"p3_found": p3_found, "p3_units": p3_units, "p4_found": p4_found, "p4_passages": p4_passages}
 
 
+def _leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leakage.leaks(load(spark, sf_dir, "documents"), "doc_id", "text", load(spark, sf_dir, "eval_cases"), "item_id", "passage", "question")
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = leakage.leaks(load(spark, sf_dir, "documents"), "doc_id", "text", load(spark, sf_dir, "eval_cases"), "item_id", "passage")
-    return found.select(F.col("id").alias("doc_id"), "item_id")
+    return _leaks(spark, sf_dir).where("kind = 'run'").select(F.col("id").alias("doc_id"), "item_id")
 
 
 def p6_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every test item with the number of documents it leaked into and the best cover."""
-    items = load(spark, sf_dir, "eval_cases")
-    found = leakage.leaks(load(spark, sf_dir, "documents"), "doc_id", "text", items, "item_id", "passage")
-    counts = found.groupBy("item_id").agg(F.count("*").alias("documents"), F.round(F.max("covered"), 6).alias("best_cover"))
-    return items.select("item_id").join(counts, "item_id", "left").na.fill(0, ["documents"])
+    """Every test item with the number of documents it leaked into, as a run or paraphrased, and the best cover."""
+    counts = _leaks(spark, sf_dir).groupBy("item_id").agg(F.count_if(F.col("kind") == "run").alias("documents"), F.count_if(F.col("kind") == "paraphrase").alias("paraphrases"), F.round(F.max("covered"), 6).alias("best_cover"))
+    return load(spark, sf_dir, "eval_cases").select("item_id").join(counts, "item_id", "left").na.fill(0, ["documents", "paraphrases"])
 
 
 QUERIES |= {"p6_found": p6_found, "p6_items": p6_items}

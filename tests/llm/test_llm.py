@@ -187,5 +187,32 @@ def test_run_test_loses_no_run():
                 text += passage[i : i + step] + [f"w{x}" for x in rng.integers(0, 30, rng.integers(0, 3))]
                 i += step + int(rng.integers(0, 3))
             whole = leakage._longest_run(passage, text)[1] / n
-            best = max((leakage._longest_run(passage, text[a:b])[1] / n for a, b in runs(text).get(1, [])), default=0)
+            best = max((leakage._longest_run(passage, text[a:b])[1] / n for a, b in runs(text, {1}).get(1, [])), default=0)
             assert best == whole if whole >= 0.5 else best < 0.5
+
+
+def test_latent_space_is_low_rank_and_keeps_leaks(spark):
+    rng = np.random.default_rng(8)
+    passages = [[f"w{x}" for x in rng.integers(0, 400, 60)] for _ in range(40)]
+    items = spark.createDataFrame([(i, " ".join(p), "what is w1") for i, p in enumerate(passages)], "item_id long, passage string, question string")
+    docs, expected = [], set()
+    for i in range(200):
+        words = [f"w{x}" for x in rng.integers(0, 400, 80)]
+        if i % 2:
+            p, at = i % 40, int(rng.integers(0, 30))
+            words[20:20] = passages[p][at : at + 15] + ["changed"] + passages[p][at + 16 : at + 31]
+            expected.add((i, p))
+        docs.append((i, " ".join(words)))
+    # One text beyond the terms projected at once, with a leak behind its end.
+    docs.append((900, " ".join(f"w{x}" for x in rng.integers(0, 400, 9000)) + " " + " ".join(passages[3])))
+    # Every other clause is new: no run of half the passage, yet all of it in order.
+    docs.append((901, " ".join(w for i in range(0, 60, 6) for w in [*passages[5][i : i + 6], "and", "so", "on"])))
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    number = {}
+    for t in (t for p in passages for t in p):
+        number.setdefault(t, len(number))
+    space, kept = leakage.latent_space(leakage._normal(df, "doc_id", "text", "id"), passages, number, rank=10)
+    assert space.shape == (len(number), 10) and 0 < kept < 1
+    got = {(r.id, r.item_id): r.kind for r in leakage.leaks(df, "doc_id", "text", items, "item_id", "passage", "question").collect()}
+    assert {k for k, v in got.items() if v == "run"} == expected | {(900, 3)}
+    assert got[(901, 5)] == "paraphrase"
