@@ -18,6 +18,9 @@ from corpusloom.session import materialize
 # Letters of other scripts drawn like Latin letters.
 LOOKALIKE_FROM = "аеорсухіјѕһԁԛԝӏАВЕКМНОРСТУХІЈЅӀΑΒΕΖΗΙΚΜΝΟΡΤΥΧοναρϲϳօɡɑ"
 LOOKALIKE_TO = "aeopcyxijshdqwlABEKMHOPCTYXIJSIABEZHIKMNOPTYXovapcjoga"
+# Radicals of the supplement and the unified ideographs drawn like them.
+RADICALS_FROM = "⺁⺂⺃⺄⺅⺆⺈⺉⺊⺌⺎⺐⺒⺓⺔⺕⺖⺗⺘⺙⺛⺝⺞⺟⺠⺡⺢⺣⺤⺥⺦⺧⺨⺩⺫⺬⺭⺯⺰⺱⺲⺶⺹⺺⺻⺼⺽⺾⺿⻀⻁⻂⻃⻄⻅⻆⻈⻉⻋⻌⻍⻎⻏⻐⻑⻒⻓⻔⻖⻗⻘⻙⻚⻛⻜⻝⻟⻠⻢⻣⻤⻥⻦⻧⻨⻩⻪⻫⻬⻭⻮⻯⻰⻱⻲⻳"
+RADICALS_TO = "厂乛乚乙亻冂刀刂卜小兀尢巳幺彑彐忄㣺扌攵旡月歺母民氵氺灬爫爫丬牛犭王罒示礻糹纟罓罒羊耂肀聿肉臼艹艹艹虎衤覀西见角讠贝车辶辶辶邑钅長镸长门阝雨青韦页风飞食飠饣马骨鬼鱼鸟卤麦黄黾斉齐歯齿竜龙龜亀龟"
 # Kinds of space and characters without a glyph (code point ranges, inclusive).
 SPACE_RANGES = ((0x00A0, 0x00A0), (0x1680, 0x1680), (0x2000, 0x200A), (0x202F, 0x202F), (0x205F, 0x205F), (0x3000, 0x3000))
 INVISIBLE_RANGES = ((0x00AD, 0x00AD), (0x034F, 0x034F), (0x061C, 0x061C), (0x115F, 0x1160), (0x17B4, 0x17B5), (0x180B, 0x180E), (0x200B, 0x200F), (0x202A, 0x202E), (0x2060, 0x206F), (0x3164, 0x3164), (0xFE00, 0xFE0F), (0xFEFF, 0xFEFF))
@@ -43,6 +46,7 @@ def fold_table() -> dict[str, str]:
             plain = unicodedata.normalize("NFKC", c)
             if len(plain) == 1 and plain != c:
                 table[c] = letters.get(plain, plain)
+    table |= dict(zip(RADICALS_FROM, RADICALS_TO, strict=True))
     table |= letters
     for c in _each(COMPOSED_RANGES):
         parts = unicodedata.normalize("NFD", c)
@@ -132,10 +136,17 @@ def _collated(rows: DataFrame, keyed: DataFrame, spread: DataFrame) -> DataFrame
 
 
 def look_alike_pairs(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Pairs (id_a < id_b) of rows whose texts differ but look the same."""
-    members = look_alike_members(df, id_col, text_col)
-    per_class = members.groupBy("class_id").agg(F.min("text_hash").alias("lo"), F.max("text_hash").alias("hi")).where("lo <> hi").select("class_id")
-    kept = members.join(per_class, "class_id", "left_semi")
-    a = kept.select("class_id", F.col("id").alias("id_a"), F.col("text_hash").alias("hash_a"))
-    b = kept.select("class_id", F.col("id").alias("id_b"), F.col("text_hash").alias("hash_b"))
-    return a.join(b, "class_id").where("id_a < id_b and hash_a <> hash_b").select("id_a", "id_b").distinct()
+    """Pairs (id_a < id_b) of rows whose texts differ but look the same.
+
+    The differing texts of a class are paired first, their rows are joined to them after:
+    copies of one text never meet each other. A pair of rows is given once, whatever
+    the number of rows of an id; null ids and texts have no pair.
+    """
+    members = materialize(look_alike_members(df, id_col, text_col).select("class_id", "text_hash", "id").distinct(), "lookalike-members")
+    texts = members.select("class_id", "text_hash").distinct()
+    met = texts.alias("p").join(texts.alias("q"), F.expr("p.class_id = q.class_id and p.text_hash < q.text_hash"))
+    met = met.select("p.class_id", F.col("p.text_hash").alias("hash_a"), F.col("q.text_hash").alias("hash_b"))
+    a = members.select("class_id", F.col("text_hash").alias("hash_a"), F.col("id").alias("x"))
+    b = members.select("class_id", F.col("text_hash").alias("hash_b"), F.col("id").alias("y"))
+    both = met.join(a, ["class_id", "hash_a"]).join(b, ["class_id", "hash_b"]).where("x <> y")
+    return both.select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b")).distinct()

@@ -53,7 +53,7 @@ def probminhash(elements: np.ndarray, owner: np.ndarray, count: int, registers:
 
 
 def _signed(rows: DataFrame, k: int, weighted: bool, bands: int, width: int) -> DataFrame:
-    """(key, cls, bands): band hashes of each record with at least one shingle."""
+    """(key, cls, check, bands): 64-bit band hashes of each record with at least one shingle."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -68,54 +68,81 @@ def _signed(rows: DataFrame, k: int, weighted: bool, bands: int, width: int) ->
                 band = np.zeros((part.num_rows, bands), np.uint64)
                 for i in range(width):
                     band = mix(band * np.uint64(0x9E3779B97F4A7C15) + registers[:, :, i])
-                flat = pa.array((band & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32).ravel())
+                # The band's place is part of its hash: one number names a bucket.
+                flat = pa.array(mix(band ^ (np.arange(1, bands + 1, dtype=np.uint64) << np.uint64(32))).view(np.int64).ravel())
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, (part.num_rows + 1) * bands, bands, dtype=np.int32)), flat)
-                yield pa.RecordBatch.from_arrays([part.column("key"), part.column("cls"), lists], ["key", "cls", "bands"])
+                yield pa.RecordBatch.from_arrays([part.column("key"), part.column("cls"), part.column("check"), lists], ["key", "cls", "check", "bands"])
 
-    return rows.mapInArrow(sign, "key long, cls long, bands array<int>")
+    return rows.mapInArrow(sign, "key long, cls long, check int, bands array<long>")
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, k: int, threshold: float) -> DataFrame:
-    """Pairs whose exact shingle sets reach the threshold."""
+def probability_jaccard(p: np.ndarray, x: np.ndarray, q: np.ndarray, y: np.ndarray) -> float:
+    """The similarity that ProbMinHash estimates: for each common element i of the weighted sets
+    1 / sum over all j of max(x_j / x_i, y_j / y_i), added up. p and q are sorted and distinct."""
+    common, i, j = np.intersect1d(p, q, assume_unique=True, return_indices=True)
+    if not len(common):
+        return 0.0
+    xs, ys = x[i], y[j]
+    ratio = xs / ys
+    order = np.argsort(ratio, kind="stable")
+    xs, ys = xs[order], ys[order]
+    # Elements of one set alone count always; of the common ones those of a greater ratio by x, the others by y.
+    above = x.sum() - np.cumsum(xs)
+    below = y.sum() - ys.sum() + np.cumsum(ys)
+    return float((1.0 / (above / xs + below / ys)).sum())
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, k: int, threshold: float, weighted: bool) -> DataFrame:
+    """Pairs whose exact shingle sets, or counted shingles, reach the threshold."""
 
     @F.pandas_udf("double")
-    def jaccard(a: pd.Series, b: pd.Series) -> pd.Series:
+    def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
         out = np.zeros(len(a))
-        for i, (x, y) in enumerate(zip(a, b, strict=True)):
-            hashes, owner = shingle_hashes([x, y], k)
-            p, q = np.unique(hashes[owner == 0]), np.unique(hashes[owner == 1])
-            both = len(np.intersect1d(p, q, assume_unique=True))
-            out[i] = both / max(1, len(p) + len(q) - both)
+        for at in range(0, len(a), 256):
+            # Every text of the stretch is hashed once; the join has brought equal ones together.
+            x, y = a[at : at + 256], b[at : at + 256]
+            codes, unique = pd.factorize(pd.concat([x, y], ignore_index=True))
+            hashes, owner = shingle_hashes(unique.tolist(), k)
+            bounds = np.searchsorted(owner, np.arange(len(unique) + 1))
+            sets = [np.unique(hashes[bounds[i] : bounds[i + 1]], return_counts=True) for i in range(len(unique))]
+            for i, (one, two) in enumerate(zip(codes[: len(x)], codes[len(x) :], strict=True)):
+                (p, m), (q, n) = sets[one], sets[two]
+                if weighted:
+                    out[at + i] = probability_jaccard(p, m.astype(float), q, n.astype(float))
+                else:
+                    both = len(np.intersect1d(p, q, assume_unique=True))
+                    out[at + i] = both / max(1, len(p) + len(q) - both)
         return pd.Series(out)
 
     a = texts.select(F.col("key").alias("a"), F.col("norm").alias("x"))
     b = texts.select(F.col("key").alias("b"), F.col("norm").alias("y"))
-    return pairs.join(a, "a").join(b, "b").withColumn("similarity", jaccard("x", "y")).where(F.col("similarity") >= threshold).select("a", "b", "similarity")
+    return pairs.join(a, "a").join(b, "b").withColumn("similarity", similarity("x", "y")).where(F.col("similarity") >= threshold).select("a", "b", "similarity")
 
 
 def near_duplicates(df: DataFrame, id_col: str, text_col: str, *, k: int = 8, threshold: float = 0.6, weighted: bool = False, bands: int = BANDS, width: int = ROWS) -> tuple[DataFrame, DataFrame]:
     """(links, members): links (a, b, similarity) between class representatives, and
     members (key, rep) of every record with a class.
 
-    A class holds the records whose letters and digits are equal. Null ids or texts
-    and texts shorter than one shingle belong to no class. A repeated key counts
-    once for each different text. An empty table gives empty results. No bucket is
-    capped; whole texts are read. With weighted=True the candidates follow shingle
-    counts, the verification stays plain Jaccard.
+    A class holds the records whose letters and digits are equal (by 96 bits of two
+    hashes). Null ids or texts and texts shorter than one shingle belong to no class. A
+    repeated key counts once for each different text. An empty table gives empty results. No
+    bucket is capped; whole texts are read. With weighted=True shingles count as often as they
+    occur: signatures and verification follow the probability Jaccard similarity of the counts.
     """
     rows = df.select(F.col(id_col).cast("long").alias("key"), plain_letters(F.col(text_col)).alias("norm")).where(F.col("key").isNotNull() & (F.length("norm") >= k))
-    rows = rows.withColumn("cls", F.xxhash64("norm"))
+    rows = rows.withColumn("cls", F.xxhash64("norm")).withColumn("check", F.hash("norm"))
     signed = materialize(_signed(rows, k, weighted, bands, width), "neardup-signed")
-    reps = signed.groupBy("cls").agg(F.min("key").alias("rep"), F.first("bands").alias("bands"))
-    banded = reps.select("rep", F.posexplode("bands").alias("band", "part")).select("rep", (F.col("band").cast("long") * F.lit(1 << 32) + F.col("part")).alias("bucket"))
-    banded = banded.repartition("bucket")
+    reps = signed.groupBy("cls", "check").agg(F.min("key").alias("rep"), F.first("bands").alias("bands"))
+    # No repartition before the join: adaptive execution may then split a hot bucket.
+    banded = reps.select("rep", F.explode("bands").alias("bucket"))
     met = banded.alias("p").join(banded.alias("q"), F.expr("p.bucket = q.bucket and p.rep < q.rep")).select(F.col("p.rep").alias("a"), F.col("q.rep").alias("b")).distinct()
     candidates = materialize(met, "neardup-candidates")
-    members = signed.select("key", "cls").join(signed.groupBy("cls").agg(F.min("key").alias("rep")), "cls").select("key", "rep", "cls").distinct()
-    wanted = candidates.select(F.explode(F.array("a", "b")).alias("key")).distinct()
-    own = signed.groupBy("cls").agg(F.min("key").alias("key")).join(wanted, "key", "left_semi")
-    texts = materialize(rows.join(own, ["key", "cls"], "left_semi").select("key", "norm").distinct(), "neardup-texts")
-    return _verified(candidates, texts, k, threshold), members
+    first = signed.groupBy("cls", "check").agg(F.min("key").alias("rep"))
+    members = signed.select("key", "cls", "check").join(first, ["cls", "check"]).select("key", "rep").distinct()
+    wanted = candidates.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
+    own = first.join(wanted, "rep", "left_semi").withColumnRenamed("rep", "key")
+    texts = materialize(rows.join(own, ["key", "cls", "check"], "left_semi").select("key", "norm").distinct(), "neardup-texts")
+    return _verified(candidates, texts, k, threshold, weighted), members
 
 
 def near_duplicate_pairs(df: DataFrame, id_col: str, text_col: str, **options) -> DataFrame:

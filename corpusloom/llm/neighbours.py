@@ -4,9 +4,10 @@ Each vector is projected several times onto a few principal directions, every
 projection is shifted and quantised, and its Hilbert key orders the collection.
 Equal vectors stand in the orderings once, by their least id, and are ranked as members
 of their class at the end.
-Spark range-partitions the rows of all orderings by (curve, key, tie, id); a window
-sliding over each sorted partition compares every vector with its neighbours on
-the curve. The windows of all curves are merged and reranked on exact cosines.
+Each ordering is cut into ranges; every range takes along the ends of the ranges beside
+it, so that no window stops at an edge. A window sliding over each sorted range compares
+the vectors that ask with their neighbours on the curve: the cost of a vector is bounded by
+curves x 2 x window comparisons. The windows of all curves are merged and reranked on exact cosines.
 
 Between the two steps vectors travel as one byte a dimension; the rounding error
 of each is kept beside it, so the similarity bound before the rerank never drops
@@ -26,7 +27,8 @@ from corpusloom.session import materialize
 
 DIMS, BITS = 12, 5  # 60-bit keys
 MOMENT_PARTS = 8
-ASK_AT_ONCE = 64  # asking rows compared in one step: bounds the block of similarities
+ASK_AT_ONCE = 256  # asking rows compared in one step: bounds the block of similarities
+CUT_SAMPLE = 50_000  # about so many vectors place the cuts between ranges; they decide balance, not results
 
 
 def _matrix(column: pa.ChunkedArray | pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
@@ -67,7 +69,7 @@ def _principal(vectors: DataFrame, dim: int, count: int) -> tuple[np.ndarray, np
     mean = total[dim, :dim] / n
     spread, axes = np.linalg.eigh(total[:dim, :dim] / n - np.outer(mean, mean))
     order = np.argsort(spread)[::-1][:count]
-    return mean, axes[:, order] * 1.0
+    return mean, axes[:, order] * 1.0, int(total[dim, dim])
 
 
 def hilbert_key(q: np.ndarray, bits: int) -> np.ndarray:
@@ -121,62 +123,73 @@ def _orderings(mean: np.ndarray, axes: np.ndarray, curves: int, seed: int):
 
 
 def most_similar(
-    df: DataFrame, id_col: str, vec_col: str, k: int = 10, *, dim: int = 64, min_similarity: float | None = None, curves: int = 8, window: int = 128, query: str | None = None, seed: int = 7
+    df: DataFrame, id_col: str, vec_col: str, k: int = 10, *, dim: int = 64, min_similarity: float | None = None, curves: int = 12, window: int = 2048, query: str | None = None, seed: int = 7
 ) -> DataFrame:
     """(id, neighbour, similarity, rank): up to k most similar other vectors for each vector.
 
     Vectors that are null, of another length than dim, all zero or not finite and
     rows with a null id are not usable: they neither ask nor answer. Equal
     similarities rank by neighbour id, so repeated vectors give a fixed result; a
-    repeated id counts once. With min_similarity only pairs at or above it are kept, which bounds the
-    rows carried to the rerank; without it each window passes on the 2k best of
-    a vector, by the rounded values. query is a SQL condition on id for the rows that
-    ask; all rows answer. A small share of asking rows affords a wide window, as the others
-    are not compared; its 3k best over all curves are reranked. An empty table gives no rows. Extra columns are ignored.
+    repeated id counts once. With min_similarity only pairs at or above it are kept. query
+    is a SQL condition on id for the rows that ask; all rows answer, and the same windows
+    on the same curves are compared whether few rows ask or all. Each window passes on the 2k
+    best of a vector by the rounded values, the 3k best over all curves are reranked. An
+    empty table gives no rows. Extra columns are ignored.
     """
     vectors = df.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("vec")).where("id is not null and vec is not null")
     asks = F.expr(query) if query else F.lit(True)
     members = _classes(vectors, asks)
     single = vectors.join(members, "id", "left").where("first is null or first = id").select("id", "vec", (F.coalesce("asked", F.lit(False)) | asks).alias("asks"))
-    mean, axes = _principal(vectors, dim, min(2 * DIMS, dim))
+    mean, axes, count = _principal(vectors, dim, min(2 * DIMS, dim))
     orders = list(_orderings(mean, axes, curves, seed))
     half = 4.0 / np.sqrt(dim)  # of the quantised range: unit vectors spread by about 1/sqrt(dim) an axis
 
+    def places(x: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """On each curve the keys of the vectors; within a cell a projection of the curve's own decides."""
+        for way, shift in orders:
+            y = (x - mean) @ way
+            cells = np.clip((y / (2 * half) + 0.5 + shift) / 1.5 * (1 << BITS), 0, (1 << BITS) - 1).astype(np.int64)
+            yield hilbert_key(cells, BITS), y[:, 0].astype(np.float32)
+
+    cuts = _cuts(single, places, dim, curves, count, window)
+    ranges = max((len(c[0]) for c in cuts), default=0) + 1
+
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x, rows = _matrix(batch.column("vec"), dim)
             if not len(x):
                 continue
             ids = batch.column("id").to_numpy()[rows]
-            asking = batch.column("asks").take(pa.array(rows))
+            asking = batch.column("asks").take(pa.array(rows)).to_numpy(zero_copy_only=False).astype(bool)
             scale = np.abs(x).max(axis=1, keepdims=True) / 127
             small = np.rint(x / scale).astype(np.int8)
-            error = np.linalg.norm(x - small * scale, axis=1)
-            packed = pa.FixedSizeBinaryArray.from_buffers(pa.binary(dim), len(x), [None, pa.py_buffer(np.ascontiguousarray(small))]).cast(pa.binary())
-            centred = x - mean
-            for c, (way, shift) in enumerate(orders):
-                y = centred @ way
-                cells = np.clip((y / (2 * half) + 0.5 + shift) / 1.5 * (1 << BITS), 0, (1 << BITS) - 1).astype(np.int64)
-                # Within a cell a finer projection of the curve's own decides, not the id.
+            error = (np.linalg.norm(x - small * scale, axis=1) * 1.001 + 1e-6).astype(np.float32)
+            for c, (key, tie) in enumerate(places(x)):
+                # The range of each row, and the ranges beside it that need the row for their windows.
+                after = [_behind(key, tie, *cut) for cut in cuts[c]]
+                own = after[1]
+                copies = [(np.arange(len(x)), own, asking)]
+                for moved in (after[0], after[2]):
+                    extra = np.flatnonzero(moved != own)
+                    copies.append((extra, moved[extra], np.zeros(len(extra), bool)))
+                at, slot, asked = (np.concatenate(z) for z in zip(*copies, strict=True))
+                packed = pa.FixedSizeBinaryArray.from_buffers(pa.binary(dim), len(at), [None, pa.py_buffer(np.ascontiguousarray(small[at]))]).cast(pa.binary())
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(x), c, np.int32)), pa.array(hilbert_key(cells, BITS)), pa.array(y[:, 0].astype(np.float32)), pa.array(ids), asking, packed, pa.array(scale[:, 0].astype(np.float32)), pa.array((error * 1.001 + 1e-6).astype(np.float32))],
-                    ["curve", "key", "tie", "id", "asks", "small", "scale", "err"],
+                    [pa.array((c * ranges + slot).astype(np.int64)), pa.array(key[at]), pa.array(tie[at]), pa.array(ids[at]), pa.array(asked), packed, pa.array(scale[at, 0].astype(np.float32)), pa.array(error[at])],
+                    ["slot", "key", "tie", "id", "asks", "small", "scale", "err"],
                 )
 
-    def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The best of both sides for the rows that ask, each once a full window follows it."""
+        held: tuple[np.ndarray, ...] | None = None
+        done = 0
         for batch in batches:
             if not batch.num_rows:
                 continue
             raw = batch.column("small")
             x = np.frombuffer(raw.buffers()[2], np.int8)[raw.offset * dim : (raw.offset + len(raw)) * dim].reshape(-1, dim).astype(np.float32)
             x *= batch.column("scale").to_numpy()[:, None]
-            yield batch.column("curve").to_numpy(), batch.column("id").to_numpy(), batch.column("err").to_numpy(), x, batch.column("asks").to_numpy(zero_copy_only=False)
-
-    def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The best of both sides for the rows that ask, each once a full window follows it."""
-        held: tuple[np.ndarray, ...] | None = None
-        done = 0
-        for now in unpacked(batches):
+            now = (batch.column("slot").to_numpy(), batch.column("id").to_numpy(), batch.column("err").to_numpy(), x, batch.column("asks").to_numpy(zero_copy_only=False))
             held = now if held is None else tuple(np.concatenate([a, b]) for a, b in zip(held, now, strict=True))
             ready = len(held[0]) - window
             if ready - done >= window:
@@ -187,65 +200,72 @@ def most_similar(
             yield from answer(held, done, len(held[0]))
 
     def answer(held: tuple[np.ndarray, ...], first: int, last: int) -> Iterator[pa.RecordBatch]:
-        curve, ids, _, x, asks = held
+        slot, ids, err, x, asks = held
         rows = first + np.flatnonzero(asks[first:last])
-        for at in range(0, len(rows), ASK_AT_ONCE):
-            own = rows[at : at + ASK_AT_ONCE]
+        while len(rows):
+            own = rows[: min(ASK_AT_ONCE, int(np.searchsorted(rows, rows[0] + window)))]
+            rows = rows[len(own) :]
             lo, hi = max(0, own[0] - window), min(len(ids), own[-1] + window + 1)
             other = np.arange(lo, hi)[None, :]
-            ok = (np.abs(other - own[:, None]) <= window) & (curve[lo:hi][None, :] == curve[own][:, None]) & (ids[lo:hi][None, :] != ids[own][:, None])
-            s = np.where(ok, x[own] @ x[lo:hi].T, -2)
-            a, b = np.nonzero(_leaders(s, 2 * k) & ok)
-            if len(a):
-                yield pa.RecordBatch.from_arrays([pa.array(ids[own[a]]), pa.array(ids[lo + b]), pa.array(s[a, b].astype(np.float32))], ["a", "b", "s"])
-
-    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: tuple[np.ndarray, ...] | None = None
-        for now in unpacked(batches):
-            fresh = 0
-            if held is not None:
-                fresh = len(held[0])
-                now = tuple(np.concatenate([a, b]) for a, b in zip(held, now, strict=True))
-            yield from compare(*now, fresh)
-            held = tuple(a[-window:] for a in now)
-
-    def compare(curve, ids, err, x, asks, fresh) -> Iterator[pa.RecordBatch]:
-        n, found = len(ids), []
-        step = max(window, 256)
-        for lo in range(fresh, n, step):
-            hi, back = min(lo + step, n), max(0, lo - window)
-            s = x[lo:hi] @ x[back:hi].T
-            own, other = np.arange(lo, hi)[:, None], np.arange(back, hi)[None, :]
-            ok = (other < own) & (own - other <= window) & (asks[lo:hi][:, None] | asks[back:hi][None, :])
+            ok = (np.abs(other - own[:, None]) <= window) & (slot[lo:hi][None, :] == slot[own][:, None]) & (ids[lo:hi][None, :] != ids[own][:, None])
+            s = x[own] @ x[lo:hi].T
             if min_similarity is not None:
-                e, f = err[lo:hi][:, None], err[back:hi][None, :]
+                e, f = err[own][:, None], err[lo:hi][None, :]
                 ok &= s + e + f + e * f >= min_similarity
+                full = np.flatnonzero(ok.sum(axis=1) > 2 * k)
+                ok[full] &= _leaders(np.where(ok[full], s[full], -2), 2 * k)
             else:
-                s = np.where(ok & (curve[lo:hi][:, None] == curve[back:hi][None, :]), s, -2)
-                ok &= _leaders(s, 2 * k) & asks[lo:hi][:, None] | _leaders(s.T, 2 * k).T & asks[back:hi][None, :]
-                ok &= s > -2
+                s = np.where(ok, s, -2)
+                ok &= _leaders(s, 2 * k)
             a, b = np.nonzero(ok)
-            a, b = a + lo, b + back
-            same = (curve[a] == curve[b]) & (ids[a] != ids[b])
-            found.append((ids[a[same]], ids[b[same]]))
-        a = np.concatenate([f[0] for f in found] or [np.zeros(0, np.int64)])
-        b = np.concatenate([f[1] for f in found] or [np.zeros(0, np.int64)])
-        if len(a):
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
-
-    lines = single.mapInArrow(keyed, "curve int, key long, tie float, id long, asks boolean, small binary, scale float, err float")
-    lines = lines.repartitionByRange("curve", "key", "tie", "id").sortWithinPartitions("curve", "key", "tie", "id")
-    if query and min_similarity is None:
-        # Only rows that ask pay for a window, and only their best by rounded values are reranked.
-        near = lines.mapInArrow(asked, "a long, b long, s float").groupBy("a", "b").agg(F.max("s").alias("s"))
-        place = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("s"), "b"))
-        near = near.withColumn("place", place).where(F.col("place") <= 3 * k).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    else:
-        near = lines.mapInArrow(windows, "a long, b long")
+            if len(a):
+                yield pa.RecordBatch.from_arrays([pa.array(ids[own[a]]), pa.array(ids[lo + b]), pa.array(s[a, b].astype(np.float32))], ["a", "b", "s"])
+
+    lines = single.mapInArrow(keyed, "slot long, key long, tie float, id long, asks boolean, small binary, scale float, err float")
+    lines = lines.repartition("slot").sortWithinPartitions("slot", "key", "tie", "id")
+    near = lines.mapInArrow(windows, "a long, b long, s float").groupBy("a", "b").agg(F.max("s").alias("s"))
+    place = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("s"), "b"))
+    near = near.withColumn("place", place).where(F.col("place") <= 3 * k).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     pairs = materialize(near.distinct(), "neighbours")
     return _rerank(pairs, vectors, members, dim, k, min_similarity, query)
 
 
+def _behind(key: np.ndarray, tie: np.ndarray, keys: np.ndarray, ties: np.ndarray) -> np.ndarray:
+    """How many of the cuts (sorted by key, tie) lie at or before each place."""
+    lo, hi = np.searchsorted(keys, key, "left"), np.searchsorted(keys, key, "right")
+    for i in np.flatnonzero(hi > lo):
+        lo[i] += np.searchsorted(ties[lo[i] : hi[i]], tie[i], "right")
+    return lo
+
+
+def _cuts(single: DataFrame, places, dim: int, curves: int, count: int, window: int) -> list[list[tuple[np.ndarray, np.ndarray]]]:
+    """Per curve the cuts between its ranges, as (key, tie), and beside them the cuts moved
+    forward and back by more than a window: what lies between belongs to two ranges.
+
+    The cuts come from a bounded sample; ranges hold many windows, so the copies are few.
+    """
+    share = max(1, round(count / CUT_SAMPLE))
+
+    def sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, _ = _matrix(batch.column("vec"), dim)
+            for c, (key, tie) in enumerate(places(x)):
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), c, np.int32)), pa.array(key), pa.array(tie)], ["curve", "key", "tie"])
+
+    drawn = single.where(F.pmod(F.xxhash64("id"), F.lit(share)) == 0).mapInArrow(sampled, "curve int, key long, tie float").toPandas()
+    rows = max(16 * window, 16_384)
+    out = []
+    for c in range(curves):
+        own = drawn[drawn["curve"] == c].sort_values(["key", "tie"])
+        key, tie = own["key"].to_numpy(np.int64), own["tie"].to_numpy(np.float32)
+        at = np.arange(1, max(1, -(-count // rows))) * len(key) // max(1, -(-count // rows))
+        # So many sampled places span a window for all but a vanishing share of the cuts.
+        span = int(window / share + 5 * np.sqrt(window / share) + 5)
+        moved = [np.clip(at + d, 0, max(0, len(key) - 1)) for d in (span, 0, -span)]
+        out.append([(key[m], tie[m]) if len(key) else (np.zeros(0, np.int64), np.zeros(0, np.float32)) for m in moved])
+    return out
+
+
 def _classes(vectors: DataFrame, asks: Column) -> DataFrame:
     """(id, first, asked): the ids of vectors that occur more than once, the least id of the
     same vector and whether any of them asks."""

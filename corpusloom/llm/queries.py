@@ -10,13 +10,13 @@ from corpusloom.session import load
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = neighbours.similar_pairs(load(spark, sf_dir, "embedding_objects"), "vec_id", "embedding", k=10, min_similarity=0.94)
+    pairs = neighbours.similar_pairs(load(spark, sf_dir, "embedding_objects"), "vec_id", "embedding", k=10, min_similarity=0.94, curves=8, window=128)
     return pairs.select(F.col("id_a").alias("vec_id_a"), F.col("id_b").alias("vec_id_b"))
 
 
 def p1_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ten nearest of every hundredth id, out of all vectors."""
-    near = neighbours.most_similar(load(spark, sf_dir, "embedding_objects"), "vec_id", "embedding", 10, curves=10, window=32768, query="id % 100 = 0")
+    near = neighbours.most_similar(load(spark, sf_dir, "embedding_objects"), "vec_id", "embedding", 10, query="id % 100 = 0")
     return near.select(F.col("id").alias("vec_id"), F.col("neighbour").alias("neighbour_id"), F.round("similarity", 6).alias("similarity"), F.col("rank").cast("long").alias("rank"))
 
 
@@ -35,11 +35,11 @@ QUERIES = {"p1_found": p1_found, "p1_nearest": p1_nearest, "p8_found": p8_found,
 ORACLE_SQL: dict[str, str] = {}
 
 
-def _near_duplicates_of(spark: SparkSession, sf_dir: str, task) -> DataFrame:
+def _near_duplicates_of(spark: SparkSession, sf_dir: str, task, **options) -> DataFrame:
     """The task over the three fields, each table with its own keys."""
     parts = []
     for tab, key, field, k in (("documents", "doc_id", "text", 8), ("questions", "question_id", "body", 8), ("articles", "article_id", "title", 3)):
-        found = task(load(spark, sf_dir, tab).select(key, field), key, field, k=k, threshold=0.6)
+        found = task(load(spark, sf_dir, tab).select(key, field), key, field, k=k, threshold=0.6, **options)
         parts.append(found.withColumn("tab", F.lit(tab)))
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
@@ -54,7 +54,12 @@ def p5_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _near_duplicates_of(spark, sf_dir, neardup.near_duplicate_groups).select("tab", F.col("key").alias("row_key"), "group_id", "links")
 
 
-QUERIES |= {"p5_found": p5_found, "p5_groups": p5_groups}
+def p5_weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The groups by weighted shingles: each counts as often as it occurs (probability Jaccard)."""
+    return _near_duplicates_of(spark, sf_dir, neardup.near_duplicate_groups, weighted=True).select("tab", F.col("key").alias("row_key"), "group_id", "links")
+
+
+QUERIES |= {"p5_found": p5_found, "p5_groups": p5_groups, "p5_weighted": p5_weighted}
 
 
 def _decoded_fields(spark: SparkSession, sf_dir: str) -> DataFrame:

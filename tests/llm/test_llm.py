@@ -216,3 +216,35 @@ def test_latent_space_is_low_rank_and_keeps_leaks(spark):
     got = {(r.id, r.item_id): r.kind for r in leakage.leaks(df, "doc_id", "text", items, "item_id", "passage", "question").collect()}
     assert {k for k, v in got.items() if v == "run"} == expected | {(900, 3)}
     assert got[(901, 5)] == "paraphrase"
+
+
+def test_weighted_near_duplicates(spark):
+    rng = np.random.default_rng(2)
+    for _ in range(20):
+        x, y = rng.integers(0, 4, (2, 30)).astype(float)
+        p, q = np.flatnonzero(x), np.flatnonzero(y)
+        want = sum(1 / sum(max(x[j] / x[i], y[j] / y[i]) for j in range(30)) for i in range(30) if x[i] and y[i])
+        assert abs(neardup.probability_jaccard(p, x[p], q, y[q]) - want) < 1e-9
+    # As sets the two are equal but for two shingles; counted, their weights lie apart.
+    a, b = "abcdefgh" * 30 + "ijklmnop", "abcdefgh" + "ijklmnop" * 30
+    df = spark.createDataFrame([(1, a), (2, b), (3, a + "q"), (4, None)], "id long, text string")
+    plain = {r.key: r.group_id for r in neardup.near_duplicate_groups(df, "id", "text", k=2).collect()}
+    weighted = {r.key: r.group_id for r in neardup.near_duplicate_groups(df, "id", "text", k=2, weighted=True).collect()}
+    assert plain == {1: 1, 2: 1, 3: 1} and weighted == {1: 1, 2: 2, 3: 1}
+    assert rows(neardup.near_duplicate_pairs(df, "id", "text", k=2, weighted=True)) == [(1, 3)]
+
+
+def test_a_hot_bucket_keeps_every_link(spark):
+    # A third of the records are one text with a word changed, and as many are its copies.
+    base = " ".join(f"part{i} of the text" for i in range(12))
+    data = [(i, base.replace("part5", f"item{i}")) for i in range(60)] + [(100 + i, base) for i in range(60)] + [(200 + i, f"number {i * 7919} stands {i * 104729} alone {i * 1299709}") for i in range(60)]
+    df = spark.createDataFrame(data, "id long, text string")
+    groups = {r.key: (r.group_id, r.links) for r in neardup.near_duplicate_groups(df, "id", "text").collect()}
+    assert all(groups[i] == (0, 60) for i in [*range(60), *range(100, 160)]) and all(groups[200 + i] == (200 + i, 0) for i in range(60))
+
+
+def test_look_alike_radicals_and_copies(spark):
+    data = [(1, "⻅过 长门"), (2, "见过 ⻓⻔")] + [(10 + i, "见过 长门") for i in range(40)]
+    df = spark.createDataFrame(data, "id long, text string")
+    got = {tuple(r) for r in lookalike.look_alike_pairs(df, "id", "text").collect()}
+    assert got == {(1, 2)} | {(a, 10 + i) for a in (1, 2) for i in range(40)}
