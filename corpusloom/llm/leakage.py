@@ -26,7 +26,7 @@ from corpusloom.session import materialize
 MAX_ITEMS = 5_000  # evaluation items searched for in one pass; more take further passes
 COVER = 0.5  # share of the passage a leak holds
 ANSWERED = 0.8  # share of an item's answer that a paraphrase holds
-RANK = 64  # directions of the latent space
+RANK = 32  # directions of the latent space
 SAMPLE = 5_000  # about so many distinct texts fit the directions; all texts are searched
 NEAR = 0.75  # latent cosine of a window and a segment that makes a candidate
 BLOCK = 32  # terms of a corpus passage
@@ -49,10 +49,10 @@ def _normal(df: DataFrame, id_col: str, text_col: str, name: str) -> DataFrame:
     return df.where(F.col(id_col).isNotNull() & text.isNotNull()).select(F.col(id_col).cast("long").alias(name), F.lower(plain).alias("text"))
 
 
-def _longest_run(passage: list[str], window: list[str]) -> tuple[int, int]:
+def _longest_run(passage: list[int], window: list[int]) -> tuple[int, int]:
     """Start and size in the passage of the longest run that the window repeats in order,
     where a changed term may stand between two equal stretches of two or more terms."""
-    place: dict[str, list[int]] = {}
+    place: dict[int, list[int]] = {}
     for j, term in enumerate(window):
         place.setdefault(term, []).append(j)
     best, ends = (0, 0), {}
@@ -79,58 +79,62 @@ class _Runs:
     Every stretch of a run but the last has two equal terms or more, and at most two terms
     of the passage and of the document lie between stretches. So the neighbouring pairs that
     both share start at most four terms apart in either, from the run's first term to at most
-    five terms before its end.
+    five terms before its end. Terms are numbers; those of no passage are all the number beyond.
     """
 
-    def __init__(self, passages: list[list[str]], cover: float):
-        self.number: dict[tuple[str, str], int] = {}
+    def __init__(self, passages: list[np.ndarray], beyond: int, cover: float):
+        self.beyond = beyond
         self.step = max(map(len, passages), default=0) + 8
         least = [next((s for s in range(1, len(p) + 1) if s / len(p) >= cover), len(p) + 1) for p in passages]
         self.reach = np.array([max(0, s - 5) for s in least], np.int64)
         self.pairs = [-(-(s - 1) // 4) for s in least]
         # One term alone is a run of passages this short.
-        self.tiny: dict[str, set[int]] = {}
-        for p, terms in enumerate(passages):
-            for term in terms if least[p] < 2 else ():
-                self.tiny.setdefault(term, set()).add(p)
-        entries = [(self.number.setdefault(q, len(self.number)), p * self.step + i) for p, terms in enumerate(passages) for i, q in enumerate(zip(terms, terms[1:], strict=False))]
-        self.own = [{self.number[q] for q in zip(terms, terms[1:], strict=False)} for terms in passages]
-        pair, at = np.array(sorted(entries), np.int64).reshape(-1, 2).T
-        self.at = at
-        self.first = np.searchsorted(pair, np.arange(len(self.number) + 1))
-
-    def _reached(self, held: set[int]) -> set[int]:
-        """Passages in which the pairs follow each other over a long enough stretch."""
-        known = np.fromiter(held, np.int64, len(held))
+        self.tiny = {p: passages[p] for p, s in enumerate(least) if s < 2}
+        self.own = [self._pairs(p) for p in passages]
+        pair = np.concatenate([*self.own, np.zeros(0, np.int64)])
+        at = np.concatenate([*(p * self.step + np.arange(len(x)) for p, x in enumerate(self.own)), np.zeros(0, np.int64)])
+        order = np.argsort(pair, kind="stable")
+        self.codes, self.first = np.unique(pair[order], return_index=True)
+        self.first = np.append(self.first, len(pair))
+        self.at = at[order]
+        self.own = [np.unique(np.searchsorted(self.codes, x)) for x in self.own]
+
+    def _pairs(self, numbers: np.ndarray) -> np.ndarray:
+        return numbers[:-1].astype(np.int64) * (self.beyond + 1) + numbers[1:]
+
+    def _reached(self, known: np.ndarray) -> np.ndarray:
+        """Passages in which the pairs (by their place) follow each other over a long enough stretch."""
         count = self.first[known + 1] - self.first[known]
         at = np.sort(self.at[np.repeat(self.first[known] - np.cumsum(count) + count, count) + np.arange(count.sum())])
         cut = np.flatnonzero(np.diff(at) > 4)
-        lo, hi = at[np.r_[0, cut + 1]], at[np.r_[cut, len(at) - 1]]
+        lo, hi = at[np.append(0, cut + 1)], at[np.append(cut, len(at) - 1)]
         p = lo // self.step
-        return set(p[hi - lo >= self.reach[p]].tolist())
+        return p[hi - lo >= self.reach[p]]
 
-    def __call__(self, terms: list[str], among: set[int]) -> dict[int, list[tuple[int, int]]]:
+    def __call__(self, numbers: np.ndarray, among: set[int]) -> dict[int, list[tuple[int, int]]]:
         """For each of the passages among the stretches of the document that may hold enough of it."""
-        spans = {p: [(0, len(terms))] for t in self.tiny.keys() & set(terms) for p in self.tiny[t] & among} if self.tiny else {}
-        numbers = list(map(self.number.get, zip(terms, terms[1:], strict=False), repeat(-1)))
-        shared = [(j, n) for j, n in enumerate(numbers) if n >= 0]
-        if not shared:
+        spans = {p: [(0, len(numbers))] for p in self.tiny.keys() & among if np.isin(self.tiny[p], numbers).any()} if self.tiny else {}
+        code = self._pairs(numbers)
+        if not len(code) or not len(self.codes):
             return spans
-        for p in (self._reached({n for _, n in shared}) & among) - spans.keys():
+        place = np.minimum(np.searchsorted(self.codes, code), len(self.codes) - 1)
+        shared = np.flatnonzero(self.codes[place] == code)
+        if not len(shared):
+            return spans
+        place = place[shared]
+        for p in (set(self._reached(np.unique(place)).tolist()) & among) - spans.keys():
             own = self.own[p]
-            run: list[tuple[int, int]] = []
-            for j, n in [x for x in shared if x[1] in own] + [(len(terms) + 5, -1)]:
-                if run and j - run[-1][0] > 4:
-                    if len(run) >= self.pairs[p] and p in self._reached({n for _, n in run}):
-                        spans.setdefault(p, []).append((run[0][0], run[-1][0] + 5))
-                    run = []
-                run.append((j, n))
+            mine = np.flatnonzero(own[np.minimum(np.searchsorted(own, place), len(own) - 1)] == place)
+            cut = np.flatnonzero(np.diff(shared[mine]) > 4) + 1
+            for lo, hi in zip([0, *cut.tolist()], [*cut.tolist(), len(mine)], strict=True):
+                if hi - lo >= max(1, self.pairs[p]) and p in self._reached(np.unique(place[mine[lo:hi]])):
+                    spans.setdefault(p, []).append((int(shared[mine[lo]]), int(shared[mine[hi - 1]]) + 5))
         return spans
 
 
-def _common_in_order(passage: list[str], text: list[str]) -> int:
+def _common_in_order(passage: list[int], text: list[int]) -> int:
     """Length of the longest common subsequence, one bit a term of the passage."""
-    at: dict[str, int] = {}
+    at: dict[int, int] = {}
     for i, term in enumerate(passage):
         at[term] = at.get(term, 0) | 1 << i
     full = (1 << len(passage)) - 1
@@ -142,9 +146,8 @@ def _common_in_order(passage: list[str], text: list[str]) -> int:
 
 
 def _size(length: int) -> int:
-    """Terms of a segment: the largest power of the root of two within a quarter of the passage,
-    so that half of a passage holds at least one whole segment."""
-    return int(2 ** (math.floor(2 * math.log2(max(1.0, length / 4))) / 2))
+    """Terms of a segment: the largest power of two within a quarter of the passage."""
+    return 2 ** int(math.log2(max(1, length // 4)))
 
 
 def _add_up(parts: DataFrame, shape: tuple[int, int]) -> np.ndarray:
@@ -181,54 +184,69 @@ def _gram(blocks: DataFrame, basis: np.ndarray, scale: np.ndarray) -> np.ndarray
     return _add_up(blocks.mapInArrow(multiply, "m binary"), basis.shape)
 
 
-def latent_space(texts: DataFrame, passages: list[list[str]], number: dict[str, int], *, rank: int = RANK, sample: int = SAMPLE) -> tuple[np.ndarray, float]:
-    """(projection, kept): for each passage term its weighted row in the latent space, and the
-    share of the sampled passages' energy that the space keeps.
+def _numbered(texts: DataFrame, number: dict[str, int]) -> DataFrame:
+    """(id, terms): every text as the numbers of its terms (32-bit, as bytes), written once;
+    terms of no passage are all the number beyond."""
+    numbers, beyond = texts.sparkSession.sparkContext.broadcast(number), len(number)
+
+    def convert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for text in batch.column("text").to_pylist():
+                terms = _terms(text)
+                out.append(np.fromiter(map(numbers.value.get, terms, repeat(beyond)), np.int32, len(terms)).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(out, pa.binary())], ["id", "terms"])
+
+    return materialize(texts.mapInArrow(convert, "id long, terms binary"), "leak-terms")
+
+
+def latent_space(texts: DataFrame, passages: list[np.ndarray], count: int, *, rank: int = RANK, sample: int = SAMPLE) -> tuple[np.ndarray, np.ndarray, float]:
+    """(projection, idf, kept): for each of the count passage terms its weighted row in the latent
+    space and its inverse document frequency, and the share of the sampled passages' energy that the space keeps.
 
-    Document frequencies are counted over all texts. The directions are those of a randomised
-    SVD of the TF-IDF corpus passages, in the terms that occur in evaluation passages (no other
-    takes part in a cosine), fitted on about so many distinct texts and on the evaluation passages.
+    Document frequencies are counted over all texts (id, terms). The directions are those of a
+    randomised SVD of the TF-IDF corpus passages, in the terms that occur in evaluation passages
+    (no other takes part in a cosine), fitted on about so many distinct texts and on the evaluation passages.
     """
-    spark, m = texts.sparkSession, len(number)
-    numbers = spark.sparkContext.broadcast(number)
+    spark = texts.sparkSession
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count, rows = np.zeros(m + 1, np.int64), 0
+        held, rows = np.zeros(count + 1, np.int64), 0
         for batch in batches:
             rows += batch.num_rows
-            for text in batch.column("text").to_pylist():
-                held = [numbers.value.get(t, m) for t in set(_terms(text))]
-                count[held] += 1
-        count[m] = rows
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(m + 1)), pa.array(count)], ["term", "n"])
+            for terms in batch.column("terms").to_pylist():
+                held[np.unique(np.frombuffer(terms, np.int32))] += 1
+        held[count] = rows
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(count + 1)), pa.array(held)], ["term", "n"])
 
-    found = texts.select("text").mapInArrow(frequencies, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()
-    df = np.zeros(m + 1)
+    found = texts.select("terms").mapInArrow(frequencies, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()
+    df = np.zeros(count + 1)
     for r in found:  # one row a passage term: bounded by the evaluation set
         df[r.term] = r.n
-    idf = np.log((df[m] + 1) / (df[:m] + 1)) + 1
+    idf = np.log((df[count] + 1) / (df[:count] + 1)) + 1
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for text in batch.column("text").to_pylist():
-                held = [n for t in _terms(text) if (n := numbers.value.get(t)) is not None]
+            for terms in batch.column("terms").to_pylist():
+                held = np.frombuffer(terms, np.int32)
+                held = held[held < count]
                 out += [held[i : i + BLOCK] for i in range(0, len(held), BLOCK)]
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.list_(pa.int32()))], ["terms"])
 
-    share = max(1, round(df[m] / sample))
-    drawn = texts.select("text", F.xxhash64("text").alias("h")).where(F.pmod("h", F.lit(share)) == 0).groupBy("h").agg(F.first("text").alias("text"))
-    own = spark.createDataFrame([(" ".join(p),) for p in passages], "text string")
-    rows = materialize(drawn.select("text").unionByName(own).repartition(PARTS).mapInArrow(blocks, "terms array<int>"), "leak-passages")
+    share = max(1, round(df[count] / sample))
+    drawn = texts.select("terms", F.xxhash64("terms").alias("h")).where(F.pmod("h", F.lit(share)) == 0).groupBy("h").agg(F.first("terms").alias("terms"))
+    own = spark.createDataFrame([(p.astype(np.int32).tobytes(),) for p in passages], "terms binary")
+    rows = materialize(drawn.select("terms").unionByName(own).repartition(PARTS).mapInArrow(blocks, "terms array<int>"), "leak-passages")
     # Subspace iteration: each pass multiplies by A'A, the last one gives the Ritz values.
-    basis = np.random.default_rng(11).normal(size=(m, min(m, rank + 16)))
+    basis = np.random.default_rng(11).normal(size=(count, min(count, rank + 16)))
     for _ in range(2):
         basis = np.linalg.qr(_gram(rows, basis, idf))[0]
     image = _gram(rows, basis, idf)
     energy, turn = np.linalg.eigh(basis.T @ image)
     order = np.argsort(energy)[::-1][:rank]
     kept = float(energy[order].sum() / max(1, rows.where("size(terms) > 0").count()))
-    return (basis @ turn[:, order] * idf[:, None]).astype(np.float32), kept
+    return (basis @ turn[:, order] * idf[:, None]).astype(np.float32), idf, kept
 
 
 class _Search:
@@ -240,7 +258,8 @@ class _Search:
         sizes = np.array([_size(len(p)) for p in passages])
         self.segments = {}
         for size in np.unique(sizes).tolist():
-            owner = [(p, at) for p in np.flatnonzero(sizes == size).tolist() for at in range(0, len(passages[p]) - size + 1, size)]
+            # As far apart as a half of the passage allows that is to hold a whole segment.
+            owner = [(p, at) for p in np.flatnonzero(sizes == size).tolist() for at in range(0, len(passages[p]) - size + 1, max(1, len(passages[p]) // 2 - size))]
             vectors = np.stack([self.rows[passages[p][at : at + size]].sum(axis=0) for p, at in owner])
             own, first = np.unique([p for p, _ in owner], return_index=True)
             self.segments[size] = own, first, (vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-9)).T
@@ -326,40 +345,39 @@ def _leaks_of(texts: DataFrame, passages: list[tuple[int, list[str], set[str]]],
     for _, terms, _ in passages:
         for t in terms:
             number.setdefault(t, len(number))
-    projection, _ = latent_space(texts, [terms for _, terms, _ in passages], number, rank=rank)
-    weight = np.linalg.norm(projection, axis=1)
+    beyond = len(number)
+    tests = [np.array([number[t] for t in terms]) for _, terms, _ in passages]
+    texts = _numbered(texts, number)
+    projection, weight, _ = latent_space(texts, tests, beyond, rank=rank)
+    # The answer: what the question does not say, the rarer half.
     answers = []
-    for _, terms, question in passages:
-        rest = sorted(set(terms) - question, key=lambda t: (-weight[number[t]], t))
-        answers.append(set(rest[: -(-len(rest) // 2)]))
-    held = texts.sparkSession.sparkContext.broadcast((passages, number, projection, answers))
+    for (_, _, question), test in zip(passages, tests, strict=True):
+        rest = sorted(set(test.tolist()) - {number.get(t) for t in question}, key=lambda t: (-weight[t], t))
+        answers.append(frozenset(rest[: -(-len(rest) // 2)]))
+    held = texts.sparkSession.sparkContext.broadcast(([item for item, _, _ in passages], tests, projection, answers))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        passages, number, projection, answers = held.value
-        runs = _Runs([terms for _, terms, _ in passages], cover)
-        latent = _Search(projection, [np.array([number[t] for t in terms]) for _, terms, _ in passages], near)
-        unknown = len(number)
+        names, tests, projection, answers = held.value
+        runs, latent = _Runs(tests, beyond, cover), _Search(projection, tests, near)
+        lists = [t.tolist() for t in tests]
         for batch in batches:
             found: list[tuple] = []
-            docs = [_terms(t) for t in batch.column("text").to_pylist()]
-            near_ones = latent([np.fromiter(map(number.get, d, repeat(unknown)), np.int64, len(d)) for d in docs])
-            for key, terms, among in zip(batch.column("id").to_pylist(), docs, near_ones, strict=True):
+            docs = [np.frombuffer(t, np.int32) for t in batch.column("terms").to_pylist()]
+            for key, terms, among in zip(batch.column("id").to_pylist(), docs, latent(docs), strict=True):
                 if not among:
                     continue
-                spans, own = runs(terms, among.keys()), set(terms)
+                spans, own = runs(terms, among.keys()), frozenset(terms.tolist())
                 for p, (cosine, share) in among.items():
-                    item, passage, _ = passages[p]
-                    covered = max((_longest_run(passage, terms[lo:hi])[1] for lo, hi in spans.get(p, ())), default=0) / len(passage)
-                    answer = answers[p]
-                    answered = len(answer & own) / max(1, len(answer))
-                    in_order = 0.0
+                    answer, size = answers[p], len(lists[p])
+                    covered = max((_longest_run(lists[p], terms[lo:hi].tolist())[1] for lo, hi in spans[p]), default=0) / size if p in spans else 0.0
                     # A paraphrase is near in most of the passage, not in one segment.
-                    if covered >= cover or (answered >= ANSWERED and share >= cover):
-                        size, least = len(passage), 0 if covered >= cover else ANSWERED * len(answer)
-                        stretches = [terms[at : at + 2 * size] for at in range(0, max(1, len(terms) - size), size)]
-                        in_order = max((_common_in_order(passage, x) for x in stretches if len(answer.intersection(x)) >= least), default=0) / size
+                    if covered < cover and (share < cover or len(answer & own) < ANSWERED * len(answer)):
+                        continue
+                    least = 0 if covered >= cover else ANSWERED * len(answer)
+                    stretches = (terms[at : at + 2 * size].tolist() for at in range(0, max(1, len(terms) - size), size))
+                    in_order = max((_common_in_order(lists[p], x) for x in stretches if len(answer.intersection(x)) >= least), default=0) / size
                     if covered >= cover or in_order >= cover:
-                        found.append((key, item, covered, in_order, answered, cosine))
+                        found.append((key, names[p], covered, in_order, len(answer & own) / max(1, len(answer)), cosine))
             columns = list(zip(*found, strict=True)) if found else [[] for _ in range(6)]
             kinds = (pa.int64(), pa.int64(), *[pa.float64()] * 4)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], [f.split()[0] for f in schema.split(", ")])

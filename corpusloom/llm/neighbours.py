@@ -19,6 +19,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -123,7 +124,7 @@ def _orderings(mean: np.ndarray, axes: np.ndarray, curves: int, seed: int):
 
 
 def most_similar(
-    df: DataFrame, id_col: str, vec_col: str, k: int = 10, *, dim: int = 64, min_similarity: float | None = None, curves: int = 12, window: int = 2048, query: str | None = None, seed: int = 7
+    df: DataFrame, id_col: str, vec_col: str, k: int = 10, *, dim: int = 64, min_similarity: float | None = None, curves: int = 8, window: int = 4096, query: str | None = None, seed: int = 7
 ) -> DataFrame:
     """(id, neighbour, similarity, rank): up to k most similar other vectors for each vector.
 
@@ -252,17 +253,23 @@ def _cuts(single: DataFrame, places, dim: int, curves: int, count: int, window:
             for c, (key, tie) in enumerate(places(x)):
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), c, np.int32)), pa.array(key), pa.array(tie)], ["curve", "key", "tie"])
 
-    drawn = single.where(F.pmod(F.xxhash64("id"), F.lit(share)) == 0).mapInArrow(sampled, "curve int, key long, tie float").toPandas()
     rows = max(16 * window, 16_384)
+    ranges = max(1, -(-count // rows))
+    # So many sampled places span a window for all but a vanishing share of the cuts.
+    span = int(window / share + 5 * np.sqrt(window / share) + 5)
+
+    def placed(own: pd.DataFrame) -> pd.DataFrame:
+        own = own.sort_values(["key", "tie"])
+        at = np.arange(1, ranges) * len(own) // ranges
+        moved = [own.iloc[np.clip(at + d, 0, len(own) - 1)].assign(side=side) for side, d in enumerate((span, 0, -span))]
+        return pd.concat(moved)[["curve", "side", "key", "tie"]]
+
+    drawn = single.where(F.pmod(F.xxhash64("id"), F.lit(share)) == 0).mapInArrow(sampled, "curve int, key long, tie float")
+    found = drawn.groupBy("curve").applyInPandas(placed, "curve int, side int, key long, tie float").collect()
     out = []
     for c in range(curves):
-        own = drawn[drawn["curve"] == c].sort_values(["key", "tie"])
-        key, tie = own["key"].to_numpy(np.int64), own["tie"].to_numpy(np.float32)
-        at = np.arange(1, max(1, -(-count // rows))) * len(key) // max(1, -(-count // rows))
-        # So many sampled places span a window for all but a vanishing share of the cuts.
-        span = int(window / share + 5 * np.sqrt(window / share) + 5)
-        moved = [np.clip(at + d, 0, max(0, len(key) - 1)) for d in (span, 0, -span)]
-        out.append([(key[m], tie[m]) if len(key) else (np.zeros(0, np.int64), np.zeros(0, np.float32)) for m in moved])
+        sides = [sorted((r.key, r.tie) for r in found if r.curve == c and r.side == side) for side in range(3)]
+        out.append([(np.array([k for k, _ in side], np.int64), np.array([t for _, t in side], np.float32)) for side in sides])
     return out
 
 

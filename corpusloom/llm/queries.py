@@ -10,7 +10,7 @@ from corpusloom.session import load
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = neighbours.similar_pairs(load(spark, sf_dir, "embedding_objects"), "vec_id", "embedding", k=10, min_similarity=0.94, curves=8, window=128)
+    pairs = neighbours.similar_pairs(load(spark, sf_dir, "embedding_objects"), "vec_id", "embedding", k=10, min_similarity=0.94, window=128)
     return pairs.select(F.col("id_a").alias("vec_id_a"), F.col("id_b").alias("vec_id_b"))
 
 

@@ -179,7 +179,8 @@ def test_run_test_loses_no_run():
     rng = np.random.default_rng(5)
     for n in (1, 2, 3, 5, 8, 16, 24, 40):
         passage = [f"w{x}" for x in rng.integers(0, 30, n)]
-        runs = leakage._Runs([["other", "words"], passage], 0.5)
+        number = {w: i for i, w in enumerate({*passage, "other", "words"})}
+        runs = leakage._Runs([np.array([number["other"], number["words"]]), np.array([number[w] for w in passage])], len(number), 0.5)
         for _ in range(200):
             text, i = [f"x{x}" for x in range(rng.integers(0, 9))], int(rng.integers(0, n))
             while i < n:
@@ -187,7 +188,7 @@ def test_run_test_loses_no_run():
                 text += passage[i : i + step] + [f"w{x}" for x in rng.integers(0, 30, rng.integers(0, 3))]
                 i += step + int(rng.integers(0, 3))
             whole = leakage._longest_run(passage, text)[1] / n
-            best = max((leakage._longest_run(passage, text[a:b])[1] / n for a, b in runs(text, {1}).get(1, [])), default=0)
+            best = max((leakage._longest_run(passage, text[a:b])[1] / n for a, b in runs(np.array([number.get(w, len(number)) for w in text]), {1}).get(1, [])), default=0)
             assert best == whole if whole >= 0.5 else best < 0.5
 
 
@@ -211,7 +212,8 @@ def test_latent_space_is_low_rank_and_keeps_leaks(spark):
     number = {}
     for t in (t for p in passages for t in p):
         number.setdefault(t, len(number))
-    space, kept = leakage.latent_space(leakage._normal(df, "doc_id", "text", "id"), passages, number, rank=10)
+    terms = leakage._numbered(leakage._normal(df, "doc_id", "text", "id"), number)
+    space, _, kept = leakage.latent_space(terms, [np.array([number[w] for w in p]) for p in passages], len(number), rank=10)
     assert space.shape == (len(number), 10) and 0 < kept < 1
     got = {(r.id, r.item_id): r.kind for r in leakage.leaks(df, "doc_id", "text", items, "item_id", "passage", "question").collect()}
     assert {k for k, v in got.items() if v == "run"} == expected | {(900, 3)}
