@@ -112,36 +112,38 @@ def guess_category(name: Column) -> Column:
 
 
 def html_to_markdown(html: Column) -> Column:
-    """Code blocks, headings and line structure as Markdown, other tags to spaces."""
-    text = F.regexp_replace(decode_entities(html), r"(?s)<pre[^>]*>(.*?)</pre>", "\n```\n$1\n```\n")
-    text = F.regexp_replace(text, r"(?s)<code>(.*?)</code>", "`$1`")
+    """Code blocks, headings and line structure as Markdown, other tags to spaces.
+
+    The text is cut into tags and what lies between; a table says what each tag becomes.
+    """
+    marks = {"pre": "\n```\n", "/pre": "\n```\n", "code": "`", "/code": "`", "br": "\n", "p": "\n", "/p": "\n"}
     for level in range(1, 7):
-        text = F.regexp_replace(text, rf"(?s)<h{level}[^>]*>(.*?)</h{level}>", f"\n{'#' * level} $1\n")
-    text = F.regexp_replace(text, r"<br\s*/?>|<p[^>]*>|</p>", "\n")
-    text = F.regexp_replace(F.regexp_replace(text, "<[^>]+>", " "), r"[ \t]+", " ")
-    return strip(F.regexp_replace(text, r"\n{3,}", "\n\n"))
+        marks |= {f"h{level}": "\n" + "#" * level + " ", f"/h{level}": "\n"}
+    table = F.create_map(*[F.lit(x) for pair in marks.items() for x in pair])
+    tag = lambda x: F.lower(F.regexp_extract(x, r"^<(/?[A-Za-z][A-Za-z0-9]*)", 1))
+    pieces = F.regexp_extract_all(html, F.lit("(<[^>]+>|[^<]+|<)"), F.lit(1))
+    joined = F.array_join(F.transform(pieces, lambda x: F.when(x.rlike("^<[^>]+>$"), F.coalesce(F.try_element_at(table, tag(x)), F.lit(" "))).otherwise(decode_entities(x))), "")
+    lines = F.regexp_replace(F.regexp_replace(joined, r"[ \t]{2,}|\t", " "), r"\n(?:[ \t]*\n){2,}", "\n\n")
+    return strip(lines)
 
 
 def article_body(html: Column) -> Column:
-    """Markdown of the first article element, else of the known content blocks, else ''."""
-    ways = (r"(?s)<article[^>]*>(.*?)</article>", r"(?s)<div[^>]*id=[\"']?article_content[\"']?[^>]*>(.*?)</div>\s*<(?:div|section)", r"(?s)<div[^>]*class=[\"'][^\"']*content_views[^\"']*[\"'][^>]*>(.*?)</div>")
-    found = F.coalesce(*(F.nullif(F.regexp_extract(html, w, 1), F.lit("")) for w in ways), F.lit(""))
-    return html_to_markdown(found)
+    """Markdown of the first article element, else of the element marked as the content, else ''."""
+    article = F.try_element_at(F.split(html, r"(?i)<article\b[^>]*>", 2), F.lit(2))
+    # How the content element is marked.
+    content = F.try_element_at(F.split(html, r"(?i)<div\b[^>]*\b(?:article_content|content_views)\b[^>]*>", 2), F.lit(2))
+    inside = F.coalesce(F.split(article, "(?i)</article>")[0], F.split(content, r"(?i)</div>\s*(?=<(?:div|section|aside|footer)\b|</(?:body|main)|$)", 2)[0])
+    return F.coalesce(html_to_markdown(inside), F.lit(""))
 
 
 def strip_html(text: Column) -> Column:
     return strip(F.regexp_replace(decode_entities(text), "<[^>]+>", ""))
 
 
-def escape_html(text: Column) -> Column:
-    for char, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;"), ("\n", "<br>")):
-        text = F.replace(text, F.lit(char), F.lit(entity))
-    return text
-
-
-def safe_name(title: Column, length: int = 80, default: str = "document") -> Column:
-    """A file name of lower-case letters, digits, _ and -."""
-    name = F.regexp_replace(F.regexp_replace(F.lower(strip(title)), rf"[{_SPACE}]+", "_"), r"[^\p{L}\p{N}_-]", "")
+def safe_name(title: Column, length: int = 80, default: str = "document", ascii_only: bool = False) -> Column:
+    """A file name of lower-case letters, digits, _ and -; ascii_only drops all other scripts."""
+    kept = "[^a-z0-9_-]" if ascii_only else r"[^\p{L}\p{N}_-]"
+    name = F.regexp_replace(F.regexp_replace(F.lower(strip(title)), rf"[{_SPACE}]+", "_"), kept, "")
     return F.coalesce(F.nullif(F.substring(name, 1, length), F.lit("")), F.lit(default))
 
 
@@ -168,3 +170,38 @@ def escape_html(text: Column) -> Column:
     for char, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;"), ("\n", "<br>")):
         text = F.replace(text, F.lit(char), F.lit(entity))
     return text
+
+
+def plain_title(title: Column) -> Column:
+    """Letters, digits, _ and - of any script; spaces become _, all else is dropped."""
+    return F.replace(F.regexp_replace(title, r"[^\p{L}\p{N} _-]", ""), F.lit(" "), F.lit("_"))
+
+
+def strip_html_inline(text: Column) -> Column:
+    """One line of text: code in backticks (blocks in three), other tags and white space to single spaces."""
+    table = F.create_map(*[F.lit(x) for pair in (("code", "`"), ("/code", "`"), ("pre", " ``` "), ("/pre", " ``` ")) for x in pair])
+    pieces = F.regexp_extract_all(decode_entities(text), F.lit("(<[^>]+>|[^<]+|<)"), F.lit(1))
+    marked = F.transform(pieces, lambda x: F.when(x.rlike("^<[^>]+>$"), F.coalesce(F.try_element_at(table, F.regexp_extract(x, "^<(/?(?:code|pre))>$", 1)), F.lit(" "))).otherwise(x))
+    return strip(F.regexp_replace(F.array_join(marked, ""), rf"[{_SPACE}]+", " "))
+
+
+# How a question names a language, and what marks an image instead of a question.
+LANGUAGE_WORDS = r"(?i)中文|英文|英语|汉语|语言\s*(?:为|是|=)|language\s*[:=]|\bzh\b|\ben\b"
+IMAGE_SUFFIXES = ("png", "jpg", "jpeg", "gif", "bmp", "webp", "svg", "tiff")
+IMAGE_NAMES = ("image.png", "image.jpg", "clipboard")
+
+
+def names_language(question: Column) -> Column:
+    """Whether a question asks for a language, so that a language filter may apply."""
+    return F.coalesce(question.rlike(LANGUAGE_WORDS), F.lit(False))
+
+
+def question_error(question: Column) -> Column:
+    """null for a usable question, else why not: empty, image_file, image_data or pasted_image."""
+    plain = F.lower(strip(question))
+    return (
+        F.when(F.coalesce(plain, F.lit("")) == "", "empty")
+        .when(plain.rlike(rf"\.(?:{'|'.join(IMAGE_SUFFIXES)})$"), "image_file")
+        .when(strip(question).startswith("data:image") | plain.contains("![image]"), "image_data")
+        .when(plain.rlike("|".join(x.replace(".", r"\.") for x in IMAGE_NAMES)), "pasted_image")
+    )

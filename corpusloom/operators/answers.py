@@ -20,11 +20,23 @@ def citations(source: Column) -> Column:
     return F.when(F.size(names) == 0, "- N/A").otherwise(F.array_join(F.transform(names, lambda s: F.concat(F.lit("- "), s)), "\n"))
 
 
-def last_messages(df: DataFrame, conversation: str, turn: str, n: int = 10) -> DataFrame:
-    place = Window.partitionBy(conversation).orderBy(F.desc(turn))
-    return df.withColumn("place", F.row_number().over(place)).where(F.col("place") <= n)
-
-
-def hint_hit(hints: Column, sources: Column) -> Column:
-    """Whether any hint is contained in any source, whatever the case."""
-    return F.exists(hints, lambda h: F.exists(sources, lambda s: F.lower(s).contains(F.lower(h))))
+def last_messages(df: DataFrame, conversation: str, *order, text: str, question: str | None = None, n: int = 10) -> DataFrame:
+    """The last n messages of each conversation, without those that repeat the current question;
+    the cut comes first, so fewer than n may remain."""
+    place = F.row_number().over(Window.partitionBy(conversation).orderBy(*order))
+    last = df.withColumn("place", place).where(F.col("place") <= n)
+    return last.where(~F.col(text).eqNullSafe(F.col(question))) if question else last
+
+
+def hint_hits(cases: DataFrame, hints: str, names: DataFrame, name: str) -> DataFrame:
+    """The cases with hit: whether any of their hints is contained in any name, whatever the case.
+    Distinct names stream past the distinct hints, which the evaluation set bounds."""
+    hint = cases.select(F.explode(hints).alias("hint")).distinct()
+    held = names.select(F.lower(name).alias("name")).distinct().join(F.broadcast(hint), F.expr("contains(name, lower(hint))")).select("hint").distinct()
+    found = held.agg(F.collect_set("hint").alias("held"))  # a subset of the hints
+    return cases.join(F.broadcast(found)).withColumn("hit", F.coalesce(F.arrays_overlap(hints, "held"), F.lit(False))).drop("held")
+
+
+def route_label(routes: Column) -> Column:
+    """The one route all hits came by, 'mixed' for several, 'none' for none."""
+    return F.when(F.size(routes) == 0, "none").when(F.size(routes) > 1, "mixed").otherwise(routes[0])

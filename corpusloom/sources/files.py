@@ -2,23 +2,37 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.functions.text import safe_name, strip, year_of
 
 RECORD = "doc_id string, doc_type string, title string, content string, author string, category string, created_at string, is_resolved boolean, _corrupt_record string"
+# Fixed value: the form of a header.
 _FRONT = r"(?s)\A---\s*\n(.*?)\n---\s*\n"
 
 
 def read_texts(spark: SparkSession, folder: str, recursive: bool = True) -> DataFrame:
     """(source, path, text, front_matter) of the .md and .txt files that are not empty;
-    the header between --- lines leaves the text whether or not it parses."""
-    raw = spark.read.text(folder, wholetext=True, recursiveFileLookup=recursive, pathGlobFilter="*.{md,txt,MD,TXT}")
-    text = strip(F.col("value"))
-    rows = raw.select(F.col("_metadata.file_name").alias("source"), F.col("_metadata.file_path").alias("path"), text.alias("text")).where("text <> ''")
+    the header between --- lines leaves the text whether or not it parses. A missing folder gives no rows."""
+    raw = _found(lambda: spark.read.text(folder, wholetext=True, recursiveFileLookup=recursive, pathGlobFilter="*.{[mM][dD],[tT][xX][tT]}").withColumns({"source": F.col("_metadata.file_name"), "path": F.col("_metadata.file_path")}))
+    raw = spark.createDataFrame([], "value string, source string, path string") if raw is None else raw
+    rows = raw.select("source", "path", strip(F.col("value")).alias("text")).where("text <> ''")
     front = F.regexp_extract("text", _FRONT, 1)
-    return rows.select("source", "path", F.regexp_replace("text", _FRONT, "").alias("text"), front_matter(front).alias("front_matter"))
+    return rows.select("source", "path", strip(F.regexp_replace("text", _FRONT, "")).alias("text"), front_matter(front).alias("front_matter"))
+
+
+def _found(read: Callable[[], DataFrame]) -> DataFrame | None:
+    """The data, or None where the folder is missing."""
+    try:
+        return read()
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            return None
+        raise
 
 
 def front_matter(header: Column) -> Column:
@@ -41,30 +55,14 @@ def record_documents(raw: DataFrame) -> DataFrame:
     return raw.where(strip(F.col("content")) != "").select(F.concat_ws("_", stem, name).alias("source"), "path", F.col("content").alias("text"), meta.alias("meta"))
 
 
-def read_pdfs(spark: SparkSession, folder: str) -> DataFrame:
-    """(source, path, text) of PDF files where the optional pypdf is installed; unreadable files are left out."""
-    import pandas as pd
-
-    @F.pandas_udf("string")
-    def pages(content: pd.Series) -> pd.Series:
-        import io
-
-        from pypdf import PdfReader
-
-        def text(raw: bytes) -> str | None:
-            try:
-                return "\n".join(p.extract_text() or "" for p in PdfReader(io.BytesIO(raw)).pages).strip()
-            except Exception:
-                return None
-
-        return content.map(text)
-
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.pdf").option("recursiveFileLookup", True).load(folder)
-    return files.select(F.element_at(F.split("path", "/"), -1).alias("source"), "path", pages("content").alias("text")).where("text <> ''")
-
-
 def write_markdown(df: DataFrame, folder: str, title: str, body: str, *fields: str) -> None:
     """One Markdown text for each row, in folders by file name."""
     bullets = [F.concat(F.lit(f"- {f}: "), F.coalesce(F.col(f).cast("string"), F.lit(""))) for f in fields]
     text = F.concat_ws("\n", F.concat(F.lit("# "), F.col(title)), F.lit(""), *bullets, F.lit(""), F.col(body))
     df.select(text.alias("value"), safe_name(F.col(title)).alias("name")).write.partitionBy("name").text(folder)
+
+
+def write_results(summary: DataFrame, results: DataFrame, folder: str) -> None:
+    """A one-row summary and the rows behind it as JSON Lines under one folder."""
+    summary.coalesce(1).write.mode("overwrite").json(f"{folder}/summary")
+    results.write.mode("overwrite").json(f"{folder}/results")

@@ -15,13 +15,14 @@ def record_stream(spark: SparkSession, folder: str) -> DataFrame:
     return record_documents(spark.readStream.schema(RECORD).json(folder).withColumn("path", F.col("_metadata.file_path")).where("_corrupt_record is null"))
 
 
-def ingest(records: DataFrame, table: str, checkpoint: str) -> StreamingQuery:
-    """Cleans, chunks and upserts arriving records; a chunk's id is its source and place."""
+def ingest(records: DataFrame, folder: str, checkpoint: str) -> StreamingQuery:
+    """Cleans, chunks and upserts arriving records into the store at folder; a chunk's id is its source
+    and place. A batch taken up again after a crash changes nothing: the store keeps one row a key."""
 
     def land(batch: DataFrame, number: int) -> None:
         chunks = batch.select("source", "path", F.posexplode(chunk_text(clean_text(F.col("text")))).alias("chunk_id", "chunk"))
         rows = chunks.select(F.concat_ws("_", "source", "chunk_id").alias("id"), "source", "path", "chunk_id", "chunk.*", F.lit(number).alias("version"))
-        upsert(batch.sparkSession, table, rows, "id", "version")
+        upsert(batch.sparkSession, folder, rows, "id", "version")
 
     return records.writeStream.foreachBatch(land).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

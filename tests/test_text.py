@@ -38,7 +38,19 @@ def test_names_and_dates(spark):
 
 def test_html(spark):
     got = value(spark, T.article_body(F.col("t")), "x<article><h2>T</h2><p>a&lt;b</p></article>", "none")
-    assert got[0].startswith("## T") and got[1] == ""
+    assert got == ["## T\n\na<b", ""]
+    div = '<div id="article_content" class="x"><h1>A</h1>one<br/>two<pre><code>x &lt; 1</code></pre></div> <section>no</section>'
+    assert value(spark, T.article_body(F.col("t")), div) == ["# A\none\ntwo\n```\n`x < 1`\n```"]
+    inline = value(spark, T.strip_html_inline(F.col("t")), "<p>a\n<code>b</code> &amp; <pre>c</pre></p>", None, "")
+    assert inline == ["a `b` & ``` c ```", None, ""]
+
+
+def test_questions(spark):
+    got = value(spark, T.question_error(F.col("t")), " ok? ", " ", None, "my.PNG", "data:image/x", "see ![Image](a)", "from Clipboard")
+    assert got == [None, "empty", "empty", "image_file", "image_data", "image_data", "pasted_image"]
+    assert value(spark, T.names_language(F.col("t")), "用中文回答", "Language: x", "open", "in en please", None) == [True, True, False, True, False]
+    assert value(spark, T.safe_name(F.col("t"), 5, "question", True), "Ab C中 dE", "中") == ["ab_c_", "question"]
+    assert value(spark, T.plain_title(F.col("t")), "a b/中-c_?", None) == ["a_b中-c_", None]
 
 
 def test_metadata(spark):
