@@ -28,7 +28,7 @@ COVER = 0.5  # share of the passage a leak holds
 ANSWERED = 0.8  # share of an item's answer that a paraphrase holds
 RANK = 32  # directions of the latent space
 SAMPLE = 5_000  # about so many distinct texts fit the directions; all texts are searched
-NEAR = 0.75  # latent cosine of a window and a segment that makes a candidate
+NEAR = 0.8  # latent cosine of a window and a segment that makes a candidate
 BLOCK = 32  # terms of a corpus passage
 PARTS = 16  # tasks that share the factoring of the sample
 AT_ONCE = 4_096  # terms projected in one step: bounds the memory of a task
