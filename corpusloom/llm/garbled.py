@@ -36,6 +36,7 @@ _LOST = "�"
 _CJK = "⺀-鿿豈-﫿＀-￯\U00020000-\U0003ffff가-힯ᄀ-ᇿ฀-๿-︰-﹏"
 _WORD = re.compile(r"[A-Za-z\u0080-\U0010ffff]*[\u0080-\U0010ffff][A-Za-z\u0080-\U0010ffff]*")
 _UNSPACED = re.compile(f"[{_CJK}]+")
+_THAI = re.compile("[\u0e00-\u0e7f]{4}")
 _LETTERS = re.compile(r"(?:[^\W\d_]|[\xa0\xad])+")
 _ASCII_LETTER = re.compile("[A-Za-z]")
 _UNSEEN = re.compile("[\xa0\xad]")
@@ -100,9 +101,14 @@ def _tokens(text: str) -> tuple[list[str], list[str], bool]:
     wide = _wide(text)
     for word in _WORD.findall(text):
         if _UNSPACED.search(word):
+            # A letter of a spaced script that became an ideograph stands among Latin letters.
+            if 2 * len(_UNSPACED.sub("", word)) > len(word):
+                asked.add(word)
             for run in _UNSPACED.findall(word):
                 known += run
                 known += map(str.__add__, run, run[1:])
+                if _THAI.match(run):
+                    known += [run[i : i + 4] for i in range(len(run) - 3)]
                 if wide and _wide(run):
                     asked.add(run)
                     asked.update(run[i : i + n] for n in (2, 3, 4) for i in range(len(run) - n + 1))
@@ -215,9 +221,9 @@ def _hits(rows: DataFrame, copies: DataFrame) -> DataFrame:
         .where(better)
         .withColumn("place", F.row_number().over(best)).where("place = 1").select("token", "original")
     )
-    found = asked.where(F.col("token") != _LOST).join(bad, "token").select("tab", "row_key", "token", "original")
-    marks = asked.where(F.col("token") == _LOST).select("tab", "row_key", "token", F.lit(None).cast("string").alias("original"))
-    return found.unionByName(marks)
+    # What a lenient decoder made of any character it could not read: a form without an original.
+    marks = rows.sparkSession.createDataFrame([(_LOST, None)], "token string, original string")
+    return asked.join(bad.where(F.col("token") != _LOST).unionByName(marks), "token").select("tab", "row_key", "token", "original")
 
 
 def _with_copies(found: DataFrame, copies: DataFrame) -> DataFrame:
@@ -240,8 +246,8 @@ def garbled_records(rows: DataFrame) -> DataFrame:
 
 def restore(rows: DataFrame) -> DataFrame:
     """(tab, row_key, restored, complete): affected records with each verified garbled
-    token replaced by its original, longest first from left to right; complete is false
-    where lost characters remain."""
+    token replaced by its original, longest first from left to right; complete is false where
+    lost characters, or ideographs that still read as bytes of another encoding, remain."""
     rows = rows.where("row_key is not null and text is not null")
     copies = _copies(rows)
     pairs = _hits(rows, copies).groupBy("tab", "row_key").agg(F.collect_set(F.struct("token", "original")).alias("found"))
@@ -258,5 +264,9 @@ def restore(rows: DataFrame) -> DataFrame:
             out.append(t)
         return pd.Series(out)
 
+    @F.pandas_udf("boolean")
+    def finished(text: pd.Series) -> pd.Series:
+        return text.map(lambda t: _LOST not in t and not _wide(t)).astype(bool)
+
     joined = rows.join(pairs, ["tab", "row_key"]).withColumn("restored", replaced("text", "found"))
-    return joined.select("tab", "row_key", "restored", (~F.contains("restored", F.lit(_LOST))).alias("complete"))
+    return joined.select("tab", "row_key", "restored", finished("restored").alias("complete"))

@@ -29,6 +29,8 @@ THREE_LETTERS = {"zho": "zh", "chi": "zh", "eng": "en", "deu": "de", "ger": "de"
 NO_LABEL = ("", "und", "unknown")
 READS_WELL = 0.25  # score a character
 SWITCH = 6.0  # log-score a change of language must gain
+COPIES = 3  # how often one text counts in the word model
+WORDS_AT_ONCE = 32_768  # words whose paths are found together; a longer text stands alone
 SURE = 1.5  # log-score a sentence needs to count
 
 _TOKEN = re.compile(r"(?P<letters>[A-Za-zÀ-ɏͰ-ӿ]+)|(?P<han>[一-鿿㐀-䶿々]+)|(?P<kana>[぀-ヿ]+)|(?P<deva>[ऀ-ॿ]+)|(?P<thai>[฀-๿]+)")
@@ -51,14 +53,16 @@ def plain_code(label: Column) -> Column:
 def word_model(df: DataFrame, text_col: str, label_col: str, *, sample: int = 20_000, words: int = 20_000) -> dict[str, np.ndarray]:
     """Log-scores of Latin-script words for each language of LATIN.
 
-    Fitted on a bounded sample of labelled rows (about so many, by hash of the text)
-    and on its most frequent words; other words score nothing.
+    Fitted on a bounded sample of labelled rows (about so many, by hash of the text; copies of
+    a text count COPIES times at most) and on its most frequent words; other words score nothing.
     """
     labelled = df.select(F.col(text_col).alias("text"), plain_code(F.col(label_col)).alias("code")).where(F.col("text").isNotNull() & F.col("code").isin(*LATIN))
     share = max(1, round(labelled.count() / sample))
     word = F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"(?<![\p{L}_\d.])([a-zß-ɏ]+)(?![\p{L}_\d])"), F.lit(1))).alias("word")
-    counts = labelled.where(F.pmod(F.xxhash64("text"), F.lit(share)) == 0).select("code", word).groupBy("word").pivot("code", list(LATIN)).count().na.fill(0)
-    rows = counts.withColumn("n", sum(F.col(x) for x in LATIN)).where("n >= 3").orderBy(F.desc("n"), "word").limit(words).collect()
+    drawn = labelled.where(F.pmod(F.xxhash64("text"), F.lit(share)) == 0).groupBy(F.xxhash64("text"), "code").agg(F.first("text").alias("text"), F.least(F.count("*"), F.lit(COPIES)).cast("int").alias("n"))
+    drawn = drawn.select("code", F.explode(F.array_repeat("text", F.col("n"))).alias("text"))
+    counts = drawn.select("code", word).groupBy("word").pivot("code", list(LATIN)).count().na.fill(0)
+    rows = counts.withColumn("n", sum(F.col(x) for x in LATIN)).where("n >= 3").coalesce(4).orderBy(F.desc("n"), "word").limit(words).collect()
     table = np.array([[r[x] for x in LATIN] for r in rows], np.float64).reshape(-1, len(LATIN))
     total = table.sum(axis=0, keepdims=True)
     # A language without labelled rows has no evidence to offer.
@@ -209,10 +213,7 @@ def label_passages(df: DataFrame, id_col: str, text_col: str, label_col: str, so
             one: list = [None] * len(raw)
             sure = [0.0] * len(raw)
             mixed = [False] * len(raw)
-            for at in range(0, len(order), 128):
-                part = [i for i in order[at : at + 128] if read[i][0]]
-                if not part:
-                    continue
+            for part in _alike([i for i in order if read[i][0]], lambda i: len(read[i][0])):
                 scores, path = _paths([read[i] for i in part], words)
                 for row, i in enumerate(part):
                     size = len(read[i][0])
@@ -238,8 +239,8 @@ def label_passages(df: DataFrame, id_col: str, text_col: str, label_col: str, so
                     docs.append((i, k, l, numbers, weights, unit))
             docs.sort(key=lambda d: len(d[3]))
             out = []
-            for at in range(0, len(docs), 128):
-                out += _decide(docs[at : at + 128], words)
+            for part in _alike(docs, lambda d: len(d[3])):
+                out += _decide(part, words)
             columns = list(zip(*out, strict=True)) if out else [[] for _ in names]
             kinds = (pa.int64(), pa.string(), pa.string(), pa.float64(), pa.int64(), pa.int64(), pa.string())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names)
@@ -250,6 +251,18 @@ def label_passages(df: DataFrame, id_col: str, text_col: str, label_col: str, so
     return done.unionByName(pieces.mapInArrow(label, schema))
 
 
+def _alike(ordered: list, length) -> Iterator[list]:
+    """Groups of texts of like length (sorted by it): padded to the longest, a group is bounded in words."""
+    group: list = []
+    for one in ordered:
+        if group and (len(group) + 1) * length(one) > WORDS_AT_ONCE:
+            yield group
+            group = []
+        group.append(one)
+    if group:
+        yield group
+
+
 def _paths(texts: list[tuple], words: _Words) -> tuple[np.ndarray, np.ndarray]:
     """Scores and best languages of the words of a few texts of like length."""
     scores = np.zeros((len(texts), max(len(t[0]) for t in texts), len(LANGUAGES)))

@@ -55,7 +55,7 @@ def curriculum(documents: DataFrame, targets: DataFrame, id_col: str, text_col:
     A document of a null source, with a null id or without a token takes no part. A source
     without documents gets nothing and its share is spread over the others in proportion;
     shares reports it with zero. A null share or cap counts as zero. The last document of a
-    source is taken only if it fits its demand. Repeated ids are documents of their own.
+    source is taken if more than half of it fits its demand: a source misses its quota by half a document at most. Repeated ids are documents of their own.
     """
     counted = materialize(
         documents.where(F.col(source_col).isNotNull() & F.col(id_col).isNotNull() & F.col(text_col).isNotNull())
@@ -82,7 +82,7 @@ def curriculum(documents: DataFrame, targets: DataFrame, id_col: str, text_col:
     demand = materialize(demand.withColumn("quota", F.col("share") * F.col("total")), "mix-demand")
 
     copies = placed.join(demand, "source").withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("max_repeats") - 1)))
-    copies = copies.withColumn("from", F.col("epoch") * F.col("available") + F.col("start")).where(F.col("from") + F.col("tokens") <= F.col("quota") + 0.5)
+    copies = copies.withColumn("from", F.col("epoch") * F.col("available") + F.col("start")).where(F.col("from") + F.col("tokens") / 2 <= F.col("quota"))
     # Demand up to t, over total: (share - drift/2) t + drift/2 t^2; its inverse at the copy's middle.
     y = (F.col("from") + F.col("tokens") / 2) / F.col("total")
     b = F.col("share") - F.col("drift") / 2

@@ -250,3 +250,41 @@ def test_look_alike_radicals_and_copies(spark):
     df = spark.createDataFrame(data, "id long, text string")
     got = {tuple(r) for r in lookalike.look_alike_pairs(df, "id", "text").collect()}
     assert got == {(1, 2)} | {(a, 10 + i) for a in (1, 2) for i in range(40)}
+
+
+def test_every_chain_is_found(spark):
+    clean = {"utf-8": "Größe späte", "cp1251": "проверка очереди", "koi8-r": "проверка очереди", "cp932": "再起動した検索", "big5": "資料庫檢查", "tis-620": "ระบบค้นหาช้า", "gbk": "数据库检查"}
+    data = [("d", i * 100 + j, f"{text} {j}") for i, text in enumerate(clean.values()) for j in range(12)]
+    expected = set()
+    for n, chain in enumerate(garbled.CHAINS):
+        text = clean[chain[0][0]]
+        try:
+            for right, wrong in chain:
+                text = garbled._read(text.encode(right), wrong)
+        except UnicodeEncodeError:
+            continue
+        if garbled._LOST not in text and text != clean[chain[0][0]]:
+            data.append(("d", 5000 + n, text))
+            expected.add(5000 + n)
+    df = spark.createDataFrame(data, "tab string, row_key long, text string")
+    got = {r.row_key for r in garbled.garbled_records(df).collect()}
+    assert got == expected and len(expected) > 15
+
+
+def test_labels_of_a_long_text_and_copies(spark):
+    en, de = "The index was moved to the room. It keeps only the last days. ", "Die Tabelle wurde nach oben verschoben. Sie behält nur die letzten Tage. "
+    data = [(i, en, "en", "x") for i in range(50)] + [(100 + i, f"{de}{i}", "de", "x") for i in range(5)]
+    data += [(200, en * 15_000, None, "x"), (201, de, "en", "x")] + [(300 + i, en, "en", "x") for i in range(130)]
+    df = spark.createDataFrame(data, "id long, text string, lang string, source string").repartition(2)
+    model = languages.word_model(df.where("id < 200"), "text", "lang")
+    got = {r.id: r.lang_code for r in languages.label_passages(df, "id", "text", "lang", "source", model=model).where("role = 'main'").collect()}
+    assert got[200] == "en" and got[201] == "de" and got[104] == "de" and got[300] == "en"
+
+
+def test_shares_of_few_documents(spark):
+    path = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+    docs = [(i, "alpha beta gamma delta " * 30, "a") for i in range(10)] + [(100 + i, "alpha beta gamma delta " * 30, "b") for i in range(10)]
+    targets = spark.createDataFrame([("m", "a", 0.55, 1), ("m", "b", 0.45, 1)], "mix_name string, source string, target_share double, max_repeats int")
+    shares = mixing.curriculum(spark.createDataFrame(docs, "doc_id long, text string, source string"), targets, "doc_id", "text", "source", path)[1]
+    got = {r.source: r.documents for r in shares.collect()}
+    assert got == {"a": 10, "b": 8}
