@@ -223,7 +223,8 @@ def most_similar(
                 yield pa.RecordBatch.from_arrays([pa.array(ids[own[a]]), pa.array(ids[lo + b]), pa.array(s[a, b].astype(np.float32))], ["a", "b", "s"])
 
     lines = single.mapInArrow(keyed, "slot long, key long, tie float, id long, asks boolean, small binary, scale float, err float")
-    lines = lines.repartition("slot").sortWithinPartitions("slot", "key", "tie", "id")
+    # A partition for each range: what a task reads does not grow with the table.
+    lines = lines.repartition(curves * ranges, "slot").sortWithinPartitions("slot", "key", "tie", "id")
     near = lines.mapInArrow(windows, "a long, b long, s float").groupBy("a", "b").agg(F.max("s").alias("s"))
     place = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("s"), "b"))
     near = near.withColumn("place", place).where(F.col("place") <= 3 * k).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
@@ -253,7 +254,7 @@ def _cuts(single: DataFrame, places, dim: int, curves: int, count: int, window:
             for c, (key, tie) in enumerate(places(x)):
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), c, np.int32)), pa.array(key), pa.array(tie)], ["curve", "key", "tie"])
 
-    rows = max(16 * window, 16_384)
+    rows = max(16 * window, 65_536)
     ranges = max(1, -(-count // rows))
     # So many sampled places span a window for all but a vanishing share of the cuts.
     span = int(window / share + 5 * np.sqrt(window / share) + 5)
