@@ -548,7 +548,7 @@ def strip_html_keep_code(spark, d):
 
 @query(
     f"""SELECT question_id, tag, coalesce(nullif(substring(regexp_replace(n, '[^a-z0-9_-]', '', 'g'), 1, 60), ''), 'question') AS question_name, coalesce(nullif(substring(regexp_replace(n, '[^a-z0-9_-]', '', 'g'), 1, 50), ''), 'article') AS article_name,
-    replace(regexp_replace(title, '[^\p{{L}}\p{{N}} _-]', '', 'g'), ' ', '_') AS plain FROM (SELECT *, regexp_replace(lower({_sql_strip('title')}), '{_S}+', '_', 'g') AS n FROM questions WHERE title IS NOT NULL)"""
+    replace(regexp_replace(title, '[^\\p{{L}}\\p{{N}} _-]', '', 'g'), ' ', '_') AS plain FROM (SELECT *, regexp_replace(lower({_sql_strip('title')}), '{_S}+', '_', 'g') AS n FROM questions WHERE title IS NOT NULL)"""
 )
 def question_names(spark, d):
     title = F.col("title")
