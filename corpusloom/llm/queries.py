@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.llm import garbled, languages, leakage, lookalike, mixing, neardup, neighbours, sentences
+from corpusloom.llm.sql import ORACLE_SQL as ORACLE_SQL
 from corpusloom.session import load
 
 
@@ -32,7 +33,6 @@ def p8_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"p1_found": p1_found, "p1_nearest": p1_nearest, "p8_found": p8_found, "p8_canonical": p8_canonical}
-ORACLE_SQL: dict[str, str] = {}
 
 
 def _near_duplicates_of(spark: SparkSession, sf_dir: str, task, **options) -> DataFrame:
