@@ -114,8 +114,8 @@ def _verified(pairs: DataFrame, texts: DataFrame, k: int, threshold: float, weig
                     out[at + i] = both / max(1, len(p) + len(q) - both)
         return pd.Series(out)
 
-    a = texts.select(F.col("key").alias("a"), F.col("norm").alias("x"))
-    b = texts.select(F.col("key").alias("b"), F.col("norm").alias("y"))
+    a = texts.select(F.col("rep").alias("a"), F.col("norm").alias("x"))
+    b = texts.select(F.col("rep").alias("b"), F.col("norm").alias("y"))
     return pairs.join(a, "a").join(b, "b").withColumn("similarity", similarity("x", "y")).where(F.col("similarity") >= threshold).select("a", "b", "similarity")
 
 
@@ -131,17 +131,18 @@ def near_duplicates(df: DataFrame, id_col: str, text_col: str, *, k: int = 8, th
     """
     rows = df.select(F.col(id_col).cast("long").alias("key"), plain_letters(F.col(text_col)).alias("norm")).where(F.col("key").isNotNull() & (F.length("norm") >= k))
     rows = rows.withColumn("cls", F.xxhash64("norm")).withColumn("check", F.hash("norm"))
-    signed = materialize(_signed(rows, k, weighted, bands, width), "neardup-signed")
-    reps = signed.groupBy("cls", "check").agg(F.min("key").alias("rep"), F.first("bands").alias("bands"))
+    # A number for each row, fixed by the write: a class is named by its least one, as a key may hold several texts.
+    signed = materialize(_signed(rows, k, weighted, bands, width).withColumn("row", F.monotonically_increasing_id()), "neardup-signed")
+    reps = signed.groupBy("cls", "check").agg(F.min("row").alias("rep"), F.first("bands").alias("bands"))
     # No repartition before the join: adaptive execution may then split a hot bucket.
     banded = reps.select("rep", F.explode("bands").alias("bucket"))
     met = banded.alias("p").join(banded.alias("q"), F.expr("p.bucket = q.bucket and p.rep < q.rep")).select(F.col("p.rep").alias("a"), F.col("q.rep").alias("b")).distinct()
     candidates = materialize(met, "neardup-candidates")
-    first = signed.groupBy("cls", "check").agg(F.min("key").alias("rep"))
-    members = signed.select("key", "cls", "check").join(first, ["cls", "check"]).select("key", "rep").distinct()
+    first = signed.groupBy("cls", "check").agg(F.min(F.struct(F.col("row").alias("rep"), "key")).alias("first")).select("cls", "check", "first.*")
+    members = signed.select("key", "cls", "check").join(first.drop("key"), ["cls", "check"]).select("key", "rep").distinct()
     wanted = candidates.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
-    own = first.join(wanted, "rep", "left_semi").withColumnRenamed("rep", "key")
-    texts = materialize(rows.join(own, ["key", "cls", "check"], "left_semi").select("key", "norm").distinct(), "neardup-texts")
+    own = first.join(wanted, "rep", "left_semi")
+    texts = materialize(rows.join(own, ["key", "cls", "check"]).select("rep", "norm").distinct(), "neardup-texts")
     return _verified(candidates, texts, k, threshold, weighted), members
 
 
@@ -160,7 +161,8 @@ def near_duplicate_pairs(df: DataFrame, id_col: str, text_col: str, **options) -
 
 def near_duplicate_groups(df: DataFrame, id_col: str, text_col: str, **options) -> DataFrame:
     """(key, group_id, links): every record with a class, the least key of its connected
-    group, and how many other representatives its class is linked to."""
+    group, and how many other classes its class is linked to. A key with several texts is
+    one row: the least of their groups and the sum of their links."""
     links, members = near_duplicates(df, id_col, text_col, **options)
     links, members = materialize(links, "neardup-links"), materialize(members, "neardup-members")
     edges = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -176,4 +178,6 @@ def near_duplicate_groups(df: DataFrame, id_col: str, text_col: str, **options)
             break
     degree = edges.groupBy("a").count()
     own = members.select("key", F.col("rep").alias("a"))
-    return own.join(label, "a", "left").join(degree, "a", "left").groupBy("key").agg(F.min(F.coalesce("label", "a")).alias("group_id"), F.sum(F.coalesce("count", F.lit(0))).alias("links"))
+    own = own.join(label, "a", "left").join(degree, "a", "left").select("key", F.coalesce("label", "a").alias("label"), F.coalesce("count", F.lit(0)).alias("links"))
+    least = own.groupBy("label").agg(F.min("key").alias("group_id"))
+    return own.join(least, "label").groupBy("key").agg(F.min("group_id").alias("group_id"), F.sum("links").alias("links"))

@@ -132,6 +132,14 @@ def test_near_duplicates(spark):
     assert neardup.near_duplicate_pairs(df.limit(0), "id", "text").count() == 0
 
 
+def test_a_key_with_two_texts_links_neither_to_the_other(spark):
+    one, two = "the first text of the record with its own words", "quite another matter told in different terms"
+    df = spark.createDataFrame([(1, one), (1, two), (2, one.upper()), (3, two.upper()), (4, two + "s")], "id long, text string")
+    assert rows(neardup.near_duplicate_pairs(df, "id", "text")) == [(1, 2), (1, 3), (1, 4), (3, 4)]
+    groups = {r.key: (r.group_id, r.links) for r in neardup.near_duplicate_groups(df, "id", "text").collect()}
+    assert groups == {1: (1, 1), 2: (1, 0), 3: (1, 1), 4: (1, 1)}
+
+
 def test_leaks(spark):
     passage = " ".join(f"word{i}" for i in range(40))
     docs = [(i, f"filler text number {i} about nothing") for i in range(20)]
