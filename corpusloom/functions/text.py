@@ -24,6 +24,30 @@ def decode_entities(text: Column) -> Column:
     return text
 
 
+def with_value(value: Column, body) -> Column:
+    """body(value) with the value computed once, also where body's inner functions use it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def running_starts(sizes: Column) -> Column:
+    """The sum of all sizes before each. Sums run inside stretches of 256 and over the stretches,
+    so that an array grown step by step stays short however many sizes there are."""
+
+    def grown(first: Column, some: Column) -> Column:
+        return F.aggregate(some, F.array(first), lambda at, n: F.concat(at, F.array(F.element_at(at, -1) + n)))
+
+    def joined(runs: Column) -> Column:
+        firsts = grown(F.lit(0), F.transform(runs, lambda run: F.aggregate(run, F.lit(0), lambda total, n: total + n)))
+        inside = F.zip_with(F.slice(firsts, 1, F.size(runs)), runs, lambda first, run: F.slice(grown(first, run), 1, F.size(run)))
+        return F.flatten(inside)
+
+    def stretches(s: Column) -> Column:
+        last = F.floor(F.greatest(F.size(s) - 1, F.lit(0)) / 256).cast("int")
+        return F.transform(F.sequence(F.lit(0), last), lambda i: F.slice(s, i * 256 + 1, 256))
+
+    return with_value(with_value(sizes, stretches), joined)
+
+
 def clean_text(text: Column) -> Column:
     """Tags to spaces, entities decoded, control characters dropped, white space merged."""
     text = decode_entities(F.regexp_replace(text, "<[^>]+>", " "))
@@ -80,7 +104,7 @@ def text_blocks(text: Column, size: int) -> Column:
 
 
 def block_starts(blocks: Column) -> Column:
-    return F.aggregate(blocks, F.array(F.lit(0)), lambda at, b: F.concat(at, F.array(F.element_at(at, -1) + F.length(b) + 1)))
+    return running_starts(F.transform(blocks, lambda b: F.length(b) + 1))
 
 
 def placed_chunks(text: Column, blocks: Column, starts: Column, size: int, overlap: int, least: int) -> Column:

@@ -19,6 +19,12 @@ def test_sentences(spark):
     assert got == [["一。", "二！", "三"], ["v1.0.0 is out.", "Next 2.", "B"], []]
 
 
+def test_running_starts(spark):
+    sizes = F.transform(F.col("n"), lambda n: n.cast("int"))
+    df = spark.createDataFrame([(0, [*range(1, 1001)]), (1, []), (2, None), (3, [5])], "i int, n array<int>").orderBy("i")
+    assert [r[0] for r in df.select(T.running_starts(sizes)).collect()] == [[n * (n + 1) // 2 for n in range(1000)], [], None, [0]]
+
+
 def test_chunks(spark):
     column = F.transform(T.chunk_text(F.col("t"), 100, 20, 10), lambda c: F.struct(F.length(c["text"]), c["char_start"], c["char_end"]))
     got = value(spark, column, "a" * 250, "short", "", None)
