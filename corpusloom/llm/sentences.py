@@ -9,9 +9,12 @@ from the lengths of the pieces, and the text of a unit is read from the original
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.functions.text import running_starts
+
+STRETCH = 4096  # code points; the text is kept in stretches to read units from
 # Placeholders: opening and closing quote, masked mark, break (one character), cut (no character).
 OPEN, CLOSE, MASK, BREAK, CUT = "\ue010", "\ue011", "\ue020", "\ue001", "\ue002"
 
@@ -86,16 +89,19 @@ def sentences(df: DataFrame, id_col: str, text_col: str, source_col: str | None
     by_line = F.coalesce(F.col(source_col) == "slack", F.lit(False)) if source_col else F.lit(False)
     own = "".join((OPEN, CLOSE, MASK, BREAK, CUT))
     rows = df.where(F.col(text_col).isNotNull()).select(
-        F.col(id_col).alias("id"), F.col(text_col).alias("text"), unit_pieces(F.translate(text_col, own + "\r", " " * 6), by_line).alias("pieces")
+        F.col(id_col).alias("id"), F.regexp_extract_all(text_col, F.lit(f"(?s).{{1,{STRETCH}}}"), F.lit(0)).alias("stretches"), unit_pieces(F.translate(text_col, own + "\r", " " * 6), by_line).alias("pieces")
     )
-    # Lengths are folded into running starts inside the row: no shuffle.
-    ends = F.aggregate("pieces", F.array(F.lit(0)), lambda done, piece: F.concat(done, F.array(F.element_at(done, -1) + F.length(piece))))
-    units = F.zip_with("pieces", ends, lambda piece, start: F.struct(piece.alias("piece"), start.alias("start")))
-    unit = rows.select("id", "text", F.explode(units).alias("u")).where("u.piece is not null")
+    # Lengths are added up inside the row: no shuffle.
+    starts = running_starts(F.transform("pieces", F.length))
+    rows = rows.withColumn("units", F.zip_with("pieces", starts, lambda piece, start: F.struct(piece.alias("piece"), start.alias("start"))))
+    unit = rows.select("id", "stretches", F.explode("units").alias("u"))
     blank = rf"[\s\x85\xa0\u1680\u2000-\u200b\u2028\u2029\u202f\u205f\u3000\ufeff{BREAK}]"
     head = F.regexp_replace(F.col("u.piece"), f"^{blank}+", "")
     start = F.col("u.start") + F.length("u.piece") - F.length(head)
     size = F.length(F.regexp_replace(head, f"{blank}+$", ""))
-    return unit.select("id", "text", start.alias("s"), size.alias("n")).where("n > 0").select(
-        "id", F.col("s").cast("long").alias("char_start"), (F.col("s") + F.col("n")).cast("long").alias("char_end"), F.substring("text", F.col("s") + 1, F.col("n")).alias("sentence")
-    )
+    unit = unit.select("id", "stretches", start.alias("s"), (start + size).alias("e")).where("e > s")
+    # A unit is read from the few stretches it lies in, not from the start of its text.
+    first, last = F.floor(F.col("s") / STRETCH).cast("int"), F.floor((F.col("e") - 1) / STRETCH).cast("int")
+    near = F.array_join(F.slice("stretches", first + 1, last - first + 1), "")
+    sentence = F.substring(near, F.col("s") - first * STRETCH + 1, F.col("e") - F.col("s"))
+    return unit.select("id", F.col("s").cast("long").alias("char_start"), F.col("e").cast("long").alias("char_end"), sentence.alias("sentence"))

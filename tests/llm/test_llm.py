@@ -122,6 +122,15 @@ def test_probminhash_estimates_jaccard():
     assert abs((s[0] == s[1]).mean() - 0.6) < 0.08 and (s[0] == s[2]).all()
 
 
+def test_sentences_of_a_long_text(spark):
+    # Units across the stretches a text is kept in, characters beyond the basic plane included.
+    text = "".join(f"Unit {i} has 😀 {'word ' * (i % 1500)}end. " for i in range(0, 6000, 7))
+    df = spark.createDataFrame([(1, text)], "id long, text string")
+    got = sentences.sentences(df, "id", "text").orderBy("char_start").collect()
+    assert [r.sentence for r in got] == [text[r.char_start : r.char_end] for r in got]
+    assert [r.sentence.split()[1] for r in got] == [str(i) for i in range(0, 6000, 7)]
+
+
 def test_near_duplicates(spark):
     base = "the quick brown fox jumps over the lazy dog and runs far away from every hunter in the wood"
     data = [(1, base), (2, base.upper() + "!"), (3, base.replace("hunter", "ranger")), (4, "something else entirely with other words in it"), (5, None), (6, "x"), (2, base.upper() + "!")]
