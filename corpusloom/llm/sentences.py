@@ -93,8 +93,9 @@ def sentences(df: DataFrame, id_col: str, text_col: str, source_col: str | None
     )
     # Lengths are added up inside the row: no shuffle.
     starts = running_starts(F.transform("pieces", F.length))
-    rows = rows.withColumn("units", F.zip_with("pieces", starts, lambda piece, start: F.struct(piece.alias("piece"), start.alias("start"))))
-    unit = rows.select("id", "stretches", F.explode("units").alias("u"))
+    # An expression, not a column, is exploded: on a column Spark would put a filter that splits every text again.
+    units = F.zip_with("pieces", starts, lambda piece, start: F.struct(piece.alias("piece"), start.alias("start")))
+    unit = rows.select("id", "stretches", F.explode(units).alias("u"))
     blank = rf"[\s\x85\xa0\u1680\u2000-\u200b\u2028\u2029\u202f\u205f\u3000\ufeff{BREAK}]"
     head = F.regexp_replace(F.col("u.piece"), f"^{blank}+", "")
     start = F.col("u.start") + F.length("u.piece") - F.length(head)
