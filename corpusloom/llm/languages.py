@@ -17,9 +17,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.garbled import CHAINS, _LOST, _PAGES, _wide
+from corpusloom.llm.garbled import CHAINS, _LOST, _PAGES, _WIDE_WRONG, _wide
 from corpusloom.llm.lookalike import INVISIBLE_RANGES, LOOKALIKE_FROM, LOOKALIKE_TO
-from corpusloom.llm.sentences import unit_pieces
+from corpusloom.llm.sentences import BREAK, CLOSE, OPEN, unit_pieces
 from corpusloom.session import materialize
 
 LANGUAGES = ("zh", "en", "de", "fr", "es", "ja", "ru", "hi", "th")
@@ -39,7 +39,13 @@ _GARBLED = re.compile("[\x80-\x9fÃÂÐÑâ├√┬ĂŃ][\x80-ÿĀ-ž‚-™–
 _INVISIBLE = {c: None for lo, hi in INVISIBLE_RANGES for c in range(lo, hi + 1)}
 _TO_LATIN = str.maketrans(LOOKALIKE_FROM, LOOKALIKE_TO)
 _HIGH = re.compile("[\u0080-\U0010ffff]+")
-_MIXED = re.compile("[A-Za-zÀ-ɏ]")
+# A letter drawn like a Latin one, inside a word that has Latin letters too.
+_DISGUISED = re.compile(f"[A-Za-z][{LOOKALIKE_FROM}]|[{LOOKALIKE_FROM}][A-Za-z]")
+# Fenced code (to a blank line where the fence stays open), code in a line, tags and entities are in no language.
+_CODE = re.compile(rf"```.*?```|```[^\n{BREAK}]*(?:\n[^\n{BREAK}]+)*|`[^`\n{BREAK}]+`|<[A-Za-z/][^<>]{{0,200}}>|&#?\w{{2,8}};", re.S)
+_QUOTED = re.compile(f"{OPEN}[^{CLOSE}]*{CLOSE}")
+_ASCII = bytes(range(128))
+_IDEOGRAPHS = re.compile("[\u2e80-\uffef]")
 _CYRILLIC = re.compile("[Ѐ-ӿ]")
 
 
@@ -98,6 +104,7 @@ class _Words:
         if _ODD.search(text):
             text = unicodedata.normalize("NFKC", text).translate(_INVISIBLE)
         numbers, weights = [], []
+        disguised = not text.isascii() and _DISGUISED.search(text)
         if text.count(_LOST) > 2:
             # Lost letters keep their layout: unbroken runs stand for Chinese, words of them for Russian.
             runs = [r for r in _HIGH.findall(text) if r.count(_LOST) * 3 > len(r)]
@@ -112,10 +119,10 @@ class _Words:
                 continue
             number = self.word.get(token.lower(), 0)
             if not number and not token.isascii():
-                if _MIXED.search(token):
-                    number = self.word.get(token.translate(_TO_LATIN).lower(), 0)
-                    token = "" if number else token
-                if token and _CYRILLIC.search(token) and not number:
+                latin = token.translate(_TO_LATIN) if disguised else token
+                if latin != token and not _CYRILLIC.search(latin):
+                    number = self.word.get(latin.lower(), 0)
+                elif _CYRILLIC.search(token):
                     numbers.append(self.script["cyrillic"])
                     weights.append(min(len(token), 12))
                     continue
@@ -123,6 +130,14 @@ class _Words:
             weights.append(1.0)
         return numbers, weights
 
+    def says(self, piece: str) -> tuple[list[int], list[float]]:
+        """Word numbers and weights of a sentence; quotations in it count only where the rest says too little."""
+        if OPEN in piece and not self.suspicious(piece):
+            numbers, weights = self(self.readable(_QUOTED.sub(" ", piece)))
+            if numbers and (self.scores[numbers] * np.array(weights)[:, None]).sum(axis=0).max() >= SURE:
+                return numbers, weights
+        return self(self.readable(piece))
+
     def known(self, text: str) -> float:
         """How well the text reads: the best language's score a character."""
         numbers, weights = self(text)
@@ -139,24 +154,38 @@ class _Words:
         if not self.suspicious(text):
             return text
         best, best_score = text, self.known(text)
+        least = (False, best_score * 1.2 + 0.01)
         # Text that reads well can only be ideographs of a wide code page.
+        foreign = text.replace(_LOST, "")
+        ideographs = 3 * len(_IDEOGRAPHS.findall(foreign)) > 2 * sum(map(len, _HIGH.findall(foreign)))
         chains = CHAINS if best_score < READS_WELL and _GARBLED.search(text) else _WIDE_CHAINS if _wide(text) else ()
         for chain in chains:
-            other = text
+            other, sure = text, True
             for right, wrong in reversed(chain):
                 raw = _unread(other, wrong)
                 other = raw.decode(right, "ignore") if len(raw) >= 0.7 * len(other) else ""
-                if len(other.encode(right, "ignore")) < 0.8 * len(raw):
+                back = other.encode(right, "ignore")
+                # Bytes that are letters of UTF-8 are no text of another code page, however well it reads;
+                # a wide page loses some of them and needs more to show it.
+                wide, high = wrong in _WIDE_WRONG, len(raw.translate(None, _ASCII))
+                fits = ideographs and high >= 12 if wide else high > 1
+                sure = sure and right == "utf-8" and fits and len(back.translate(None, _ASCII)) >= (0.6 if wide else 0.8) * high
+                if len(back) < 0.8 * len(raw) and not sure:
                     other = ""  # most of it cannot have come this way
             if not other or other == text:
                 continue
             score = self.known(other)
-            if score > best_score * 1.2 + 0.01:
-                best, best_score = other, score
+            if score > 0 and (sure, score) > least:
+                best, least = other, (sure, score if sure else score * 1.2 + 0.01)
         return best
 
 
-_WIDE_CHAINS = [c for c in CHAINS if c[0][1] in ("gbk", "big5", "cp932", "cp949")]
+def _no_code(text: str) -> str:
+    """The text with blanks for what is in no language, of the same length."""
+    return _CODE.sub(lambda m: " " * len(m.group()), text) if "`" in text or "<" in text or "&" in text else text
+
+
+_WIDE_CHAINS = [c for c in CHAINS if c[0][1] in _WIDE_WRONG]
 _BACK = {code: {ord(c): b for b, c in page.items()} for code, page in _PAGES.items()}
 
 
@@ -193,7 +222,8 @@ def label_passages(df: DataFrame, id_col: str, text_col: str, label_col: str, so
 
     Confidence is the share of the evidence that speaks for the language. Null texts and
     texts without any evidence give no row; a repeated id gives rows for each text.
-    Headings, bullets and sentences without evidence neither make nor break a run.
+    Headings, bullets and sentences without evidence neither make nor break a run; code,
+    tags and, where the rest of the sentence suffices, quotations are no evidence.
     Unit numbers count the pieces of unit_pieces; they are null where one language
     alone has evidence and the text was not cut.
     """
@@ -208,7 +238,7 @@ def label_passages(df: DataFrame, id_col: str, text_col: str, label_col: str, so
         words = _Words(model)
         for batch in batches:
             ids, raw, lines, labels = (batch.column(c).to_pylist() for c in ("id", "text", "by_line", "label"))
-            read = [words(t if not words.suspicious(t) else "\n".join(map(words.readable, t.split("\n")))) for t in raw]
+            read = [words(t if not words.suspicious(t) else "\n".join(map(words.readable, t.split("\n")))) for t in map(_no_code, raw)]
             order = sorted(range(len(raw)), key=lambda i: len(read[i][0]))
             one: list = [None] * len(raw)
             sure = [0.0] * len(raw)
@@ -230,8 +260,10 @@ def label_passages(df: DataFrame, id_col: str, text_col: str, label_col: str, so
             docs = []
             for i, k, l in zip(*(batch.column(c).to_pylist() for c in ("id", "pieces", "label")), strict=True):
                 numbers, weights, unit = [], [], []
+                text, end = _no_code("".join(k)), 0
                 for u, piece in enumerate(k):
-                    n, w = words(words.readable(piece))
+                    start, end = end, end + len(piece)
+                    n, w = words.says(text[start:end])
                     numbers += n
                     weights += w
                     unit += [u] * len(n)

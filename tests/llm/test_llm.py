@@ -305,3 +305,20 @@ def test_shares_of_few_documents(spark):
     shares = mixing.curriculum(spark.createDataFrame(docs, "doc_id long, text string, source string"), targets, "doc_id", "text", "source", path)[1]
     got = {r.source: r.documents for r in shares.collect()}
     assert got == {"a": 10, "b": 8}
+
+
+def test_code_quotations_and_disguise_are_no_passages(spark):
+    en = "The index was moved to the room. It keeps only the last days. The room was moved to the last index."
+    zh, ja = "数据库没有通过验收。它很慢。", "検索は遅いです。もう一度それを確かめてください。"
+    code = "```\nfor row in read('the.csv'):\n    keeps = row.last\n    was.moved(to)\n```"
+    disguised = en.translate(str.maketrans("aeopcxy", "аеорсху"))
+    data = [(i, en, "en", "x") for i in range(5)] + [(10, f"{zh}{zh}\n\n它说“{en}”，可以忽略。\n\n{code}\n\n{code}\n<p class=index>", "zh", "x"), (11, disguised.replace("index", "Zеntоrу"), "en", "x")]
+    data += [(12, (ja * 4).encode().decode("gbk", "replace"), "ja", "x"), (13, f"{zh}{zh}{zh}\n\n{en}\n\n```\nunclosed", "zh", "x"), (14, code, "zh", "x")]
+    fr, ru = "La tâche a été déplacée. Elle dépend du café très près.", "Проверка очереди прошла. Она не была быстрой."
+    for i, (text, lang, steps) in enumerate([(zh, "zh", 2), (ru, "ru", 1), (ja, "ja", 2), (fr, "fr", 1)]):
+        text = text * 3
+        for _ in range(steps):
+            text = garbled._read(text.encode(), "cp1252")
+        data += [(20 + i, text, lang, "x"), *[(30 + 10 * i + j, [zh, ru, ja, fr][i], lang, "x") for j in range(5)]]
+    df = spark.createDataFrame(data, "id long, text string, lang string, source string")
+    assert rows(languages.found_labels(df, "id", "text", "lang", "source")) == [(13, "en", "segment")]
