@@ -114,11 +114,11 @@ def chunk_documents(spark, d):
     return chunks(load(spark, d, "documents"), "doc_id").select("doc_id", F.col("chunk_id").cast("long").alias("chunk_id"), "text", *_long("char_start", "char_end"))
 
 
-_NAME = r"regexp_extract(path, '([^/]+)$', 1)"
+_SQL_GUESS = "CASE " + " ".join(f"WHEN starts_with(lower(name), '{p}') THEN '{c}'" for p, c in (("wiki_", "wiki"), ("notice", "notice"), ("faq", "faq"), ("case_study", "case_study"), ("report", "report"), ("term_", "term"))) + " ELSE 'general' END"
 
 
 @query(
-    f"""SELECT category, count(*) AS documents FROM (SELECT CASE {" ".join(f"WHEN starts_with(lower({_NAME}), '{p}') THEN '{c}'" for p, c in T.CATEGORY_PREFIXES)} ELSE 'general' END AS category FROM documents) GROUP BY category"""
+    f"""SELECT category, count(*) AS documents FROM (SELECT {_SQL_GUESS} AS category FROM (SELECT regexp_extract(path, '([^/]+)$', 1) AS name FROM documents)) GROUP BY category"""
 )
 def guess_category(spark, d):
     name = F.regexp_extract("path", "([^/]+)$", 1)
@@ -557,7 +557,6 @@ def question_names(spark, d):
     )
 
 
-_SQL_GUESS = "CASE " + " ".join(f"WHEN starts_with(lower(name), '{p}') THEN '{c}'" for p, c in (("wiki_", "wiki"), ("notice", "notice"), ("faq", "faq"), ("case_study", "case_study"), ("report", "report"), ("term_", "term"))) + " ELSE 'general' END"
 _SQL_ROWS = """SELECT 'document' AS origin, doc_id::VARCHAR AS key, regexp_extract(path, '([^/]+)$', 1) AS name, NULL AS doc_type, false AS record, author AS fa, category AS fc, lang AS fl, author IS NOT NULL OR category IS NOT NULL OR lang IS NOT NULL AS has_front,
       metadata.author AS ma, metadata.year AS my, metadata.category AS mc, metadata.language AS ml, metadata.summary AS ms, NULL AS ra, NULL AS ry, NULL AS rc FROM documents
     UNION ALL SELECT 'ticket', doc_id, 'ticket_' || coalesce(doc_id, ''), doc_type, coalesce(doc_type, '') <> '' OR coalesce(created_at, '') <> '', NULL, NULL, NULL, false, NULL, NULL, NULL, NULL, NULL, author, TRY_CAST(nullif(substring(created_at, 1, 4), '') AS INT), category FROM tickets"""
@@ -622,10 +621,10 @@ def eval_summary(spark, d):
     return counts.withColumns({"recall": share(F.col("hits"), F.col("in_scope")), "outside_accuracy": share(F.col("out_of_scope") - F.col("answered_outside"), F.col("out_of_scope"))})
 
 
-@query("SELECT tag, list_sort(list(DISTINCT t)) AS together FROM (SELECT tag, unnest(tags) AS t FROM questions) GROUP BY tag")
+@query("SELECT tag, string_agg(DISTINCT t, ',' ORDER BY t) AS together FROM (SELECT tag, unnest(tags) AS t FROM questions) GROUP BY tag")
 def tag_sets(spark, d):
     rows = load(spark, d, "questions").select("tag", F.explode("tags").alias("t")).distinct()
-    return rows.groupBy("tag").agg(F.array_sort(F.collect_list("t")).alias("together"))
+    return rows.groupBy("tag").agg(F.array_join(F.array_sort(F.collect_list("t")), ",").alias("together"))
 
 
 @query("SELECT author, doc_id, created_at, place FROM (SELECT *, row_number() OVER (PARTITION BY author ORDER BY created_at DESC, doc_id DESC, content DESC) AS place FROM (SELECT DISTINCT author, doc_id, created_at, content, title FROM tickets WHERE author IS NOT NULL AND created_at IS NOT NULL AND doc_id IS NOT NULL AND content IS NOT NULL AND title IS NOT NULL)) WHERE place <= 10 AND content IS DISTINCT FROM title")
