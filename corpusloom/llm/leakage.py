@@ -32,8 +32,11 @@ NEAR = 0.8  # latent cosine of a window and a segment that makes a candidate
 BLOCK = 32  # terms of a corpus passage
 PARTS = 16  # tasks that share the factoring of the sample
 AT_ONCE = 4_096  # terms projected in one step: bounds the memory of a task
+DOCS, TERMS = 64, 65_536  # documents searched in one step, and their terms: a longer text is a step of its own
+PLACES = 1 << 20  # places in passages that are looked at in one step, unless one document has more
 # Only letters and digits become terms: these are the characters the fold changes among them.
-_FOLDED = r"[­Ͱ-ԯᅟ-ᅠ឴-឵​-‏⁠-⁯⺀-⿟豈-﫿︀-️﻿０-９Ａ-Ｚａ-ｚｦ-ﾟ]"
+# (Java asks for the outer range first, so that most characters are tested once.)
+_FOLDED = r"[\u00ad\u0370-\uffef&&[­Ͱ-ԯᅟ-ᅠ឴-឵​-‏⁠-⁯⺀-⿟豈-﫿︀-️﻿０-９Ａ-Ｚａ-ｚｦ-ﾟ]]"
 _TERM = re.compile(r"[A-Za-z0-9À-ɏͰ-ӿऀ-ॿ]+|[⺀-鿿ぁ-ヿ฀-๿豈-﫿]")
 
 
@@ -73,6 +76,35 @@ def _longest_run(passage: list[int], window: list[int]) -> tuple[int, int]:
     return best
 
 
+def _distinct(numbers: np.ndarray) -> np.ndarray:
+    numbers = np.sort(numbers)
+    return numbers[np.append(True, numbers[1:] != numbers[:-1])] if len(numbers) else numbers
+
+
+def _groups(sizes: list[int], rows: int, total: int) -> Iterator[slice]:
+    """Neighbours by so many at most and, but for a single one, of so much in total."""
+    begin, held = 0, 0
+    for i, n in enumerate(sizes):
+        if i > begin and (i - begin == rows or held + n > total):
+            yield slice(begin, i)
+            begin, held = i, 0
+        held += n
+    if len(sizes):
+        yield slice(begin, len(sizes))
+
+
+def _spread(first: np.ndarray, values: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """The values of all keys, one key after the other: those of k are values[first[k] : first[k + 1]]."""
+    count = first[keys + 1] - first[keys]
+    return values[np.repeat(first[keys] - np.cumsum(count) + count, count) + np.arange(count.sum())]
+
+
+def _once(docs: list[np.ndarray], width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(document, term): every term of a document, by numbers below width, once."""
+    key = np.repeat(np.arange(len(docs)), [len(t) for t in docs]) * width + np.concatenate(docs)
+    return np.divmod(_distinct(key), width)
+
+
 class _Runs:
     """Where a document may hold the share cover of a passage: a test that loses no run of _longest_run.
 
@@ -94,6 +126,7 @@ class _Runs:
         pair = np.concatenate([*self.own, np.zeros(0, np.int64)])
         at = np.concatenate([*(p * self.step + np.arange(len(x)) for p, x in enumerate(self.own)), np.zeros(0, np.int64)])
         order = np.argsort(pair, kind="stable")
+        self.count = max(1, len(passages))
         self.codes, self.first = np.unique(pair[order], return_index=True)
         self.first = np.append(self.first, len(pair))
         self.at = at[order]
@@ -102,34 +135,65 @@ class _Runs:
     def _pairs(self, numbers: np.ndarray) -> np.ndarray:
         return numbers[:-1].astype(np.int64) * (self.beyond + 1) + numbers[1:]
 
-    def _reached(self, known: np.ndarray) -> np.ndarray:
-        """Passages in which the pairs (by their place) follow each other over a long enough stretch."""
-        count = self.first[known + 1] - self.first[known]
-        at = np.sort(self.at[np.repeat(self.first[known] - np.cumsum(count) + count, count) + np.arange(count.sum())])
+    def _reached(self, group: np.ndarray, known: np.ndarray) -> np.ndarray:
+        """group * count + passage, in order, wherever the pairs of a group (by their place)
+        follow each other in the passage over a long enough stretch."""
+        group, known = np.divmod(_distinct(group * len(self.codes) + known), len(self.codes))
+        own, at = np.unique(group, return_index=True)
+        places = np.add.reduceat(self.first[known + 1] - self.first[known], at)
+        ends = np.append(at, len(group))
+        found = [self._reach(group[ends[x.start] : ends[x.stop]], known[ends[x.start] : ends[x.stop]]) for x in _groups(places.tolist(), len(own), PLACES)]
+        return np.concatenate(found)
+
+    def _reach(self, group: np.ndarray, known: np.ndarray) -> np.ndarray:
+        whole = self.count * self.step
+        base = np.repeat(group * whole, self.first[known + 1] - self.first[known])
+        at = np.sort((_spread(self.first, self.at, known) + base).astype(np.int32 if (group[-1] + 1) * whole < 2**31 else np.int64))
         cut = np.flatnonzero(np.diff(at) > 4)
         lo, hi = at[np.append(0, cut + 1)], at[np.append(cut, len(at) - 1)]
-        p = lo // self.step
-        return p[hi - lo >= self.reach[p]]
+        owner = (lo // self.step).astype(np.int64)
+        return _distinct(owner[hi - lo >= self.reach[owner % self.count]])
 
     def __call__(self, numbers: np.ndarray, among: set[int]) -> dict[int, list[tuple[int, int]]]:
         """For each of the passages among the stretches of the document that may hold enough of it."""
-        spans = {p: [(0, len(numbers))] for p in self.tiny.keys() & among if np.isin(self.tiny[p], numbers).any()} if self.tiny else {}
-        code = self._pairs(numbers)
+        wanted = np.zeros((1, self.count), bool)
+        wanted[0, list(among)] = True
+        return {p: spans for (_, p), spans in self.spans([numbers], wanted).items()}
+
+    def spans(self, docs: list[np.ndarray], wanted: np.ndarray) -> dict[tuple[int, int], list[tuple[int, int]]]:
+        """For each wanted (document, passage) the stretches of the document that may hold enough of the passage."""
+        found = {(d, p): [(0, len(docs[d]))] for p in self.tiny for d in np.flatnonzero(wanted[:, p]).tolist() if np.isin(self.tiny[p], docs[d]).any()}
+        sizes = np.array([len(t) for t in docs])
+        ends = np.cumsum(sizes)
+        code = self._pairs(np.concatenate(docs))
         if not len(code) or not len(self.codes):
-            return spans
+            return found
         place = np.minimum(np.searchsorted(self.codes, code), len(self.codes) - 1)
-        shared = np.flatnonzero(self.codes[place] == code)
+        same = self.codes[place] == code
+        last = ends[:-1] - 1  # the last term of a document and the first of the next are no pair
+        same[last[(last >= 0) & (last < len(same))]] = False
+        shared = np.flatnonzero(same)
         if not len(shared):
-            return spans
-        place = place[shared]
-        for p in (set(self._reached(np.unique(place)).tolist()) & among) - spans.keys():
-            own = self.own[p]
-            mine = np.flatnonzero(own[np.minimum(np.searchsorted(own, place), len(own) - 1)] == place)
-            cut = np.flatnonzero(np.diff(shared[mine]) > 4) + 1
-            for lo, hi in zip([0, *cut.tolist()], [*cut.tolist(), len(mine)], strict=True):
-                if hi - lo >= max(1, self.pairs[p]) and p in self._reached(np.unique(place[mine[lo:hi]])):
-                    spans.setdefault(p, []).append((int(shared[mine[lo]]), int(shared[mine[hi - 1]]) + 5))
-        return spans
+            return found
+        place, doc = place[shared], np.repeat(np.arange(len(docs)), sizes)[shared]
+        first = np.searchsorted(doc, np.arange(len(docs) + 1))
+        stretches: list[tuple[int, int, np.ndarray, np.ndarray]] = []
+        reached = self._reached(doc, place)
+        for d, p in zip(*(x.tolist() for x in np.divmod(reached[wanted.ravel()[reached]], self.count)), strict=True):
+            if (d, p) in found:
+                continue
+            here, own = place[first[d] : first[d + 1]], self.own[p]
+            mine = np.flatnonzero(own[np.minimum(np.searchsorted(own, here), len(own) - 1)] == here)
+            at = shared[first[d] : first[d + 1]][mine] - (ends[d] - sizes[d])
+            cut = np.flatnonzero(np.diff(at) > 4) + 1
+            stretches += [(d, p, at[lo:hi], here[mine[lo:hi]]) for lo, hi in zip([0, *cut.tolist()], [*cut.tolist(), len(mine)], strict=True) if hi - lo >= max(1, self.pairs[p])]
+        if stretches:
+            group = np.repeat(np.arange(len(stretches)), [len(x) for *_, x in stretches])
+            held = set(self._reached(group, np.concatenate([x for *_, x in stretches])).tolist())
+            for i, (d, p, at, _) in enumerate(stretches):
+                if i * self.count + p in held:
+                    found.setdefault((d, p), []).append((int(at[0]), int(at[-1]) + 5))
+        return found
 
 
 def _common_in_order(passage: list[int], text: list[int]) -> int:
@@ -214,8 +278,9 @@ def latent_space(texts: DataFrame, passages: list[np.ndarray], count: int, *, ra
         held, rows = np.zeros(count + 1, np.int64), 0
         for batch in batches:
             rows += batch.num_rows
-            for terms in batch.column("terms").to_pylist():
-                held[np.unique(np.frombuffer(terms, np.int32))] += 1
+            docs = [np.frombuffer(t, np.int32) for t in batch.column("terms").to_pylist()]
+            for part in _groups([len(t) for t in docs], DOCS, TERMS):
+                held += np.bincount(_once(docs[part], count + 1)[1], minlength=count + 1)
         held[count] = rows
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(count + 1)), pa.array(held)], ["term", "n"])
 
@@ -264,32 +329,39 @@ class _Search:
             own, first = np.unique([p for p, _ in owner], return_index=True)
             self.segments[size] = own, first, (vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-9)).T
         self.longest = max(self.segments, default=1)
+        self.count = len(passages)
 
-    def __call__(self, docs: list[np.ndarray]) -> list[dict[int, tuple[float, float]]]:
-        """For each document (term numbers) its candidate passages with their best cosine and
-        the share of their segments that are near."""
-        found: list[dict[int, tuple[float, float]]] = [{} for _ in docs]
+    def __call__(self, docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(document, passage, cosine, share) of all candidates: the best cosine of a passage's segments and
+        the share of them that are near, documents by term numbers."""
         # Long documents are taken in overlapping slices: memory is bounded, no window is lost.
         slices = [(d, terms[lo : lo + AT_ONCE + self.longest]) for d, terms in enumerate(docs) for lo in range(0, max(1, len(terms)), AT_ONCE)]
-        group, total = [], 0
-        for one in [*slices, None]:
-            if one is not None and (not group or total + len(one[1]) <= AT_ONCE):
-                group.append(one)
-                total += len(one[1])
-                continue
-            self._compare(group, found)
-            group, total = [one], 0 if one is None else len(one[1])
-        return found
-
-    def _compare(self, group: list[tuple[int, np.ndarray]], found: list[dict[int, tuple[float, float]]]) -> None:
-        if not group:
-            return
-        sizes = np.array([len(t) for _, t in group])
+        best = {size: np.empty((len(slices), vectors.shape[1]), np.float32) for size, (_, _, vectors) in self.segments.items()}
+        for part in _groups([len(t) for _, t in slices], len(slices), AT_ONCE):
+            self._compare([t for _, t in slices[part]], {size: x[part] for size, x in best.items()})
+        owner, parts = np.array([d for d, _ in slices]), []
+        for size, (own, first_of, _) in self.segments.items():
+            cosine = best[size].T.copy()
+            share = np.add.reduceat((cosine >= self.near).astype(np.float32), first_of, axis=0) / np.diff([*first_of, len(cosine)])[:, None]
+            cosine = np.maximum.reduceat(cosine, first_of, axis=0)
+            column, at = np.nonzero(share)
+            parts.append((owner[at] * self.count + own[column], cosine[column, at], share[column, at]))
+        key, cosine, share = (np.concatenate(x) for x in zip(*parts, strict=True))
+        order = np.argsort(key, kind="stable")
+        key, cosine, share = key[order], cosine[order], share[order]
+        if len(slices) > len(docs):
+            first = np.flatnonzero(np.append(True, key[1:] != key[:-1])[: len(key)])
+            key, cosine, share = key[first], *(np.maximum.reduceat(x, first) if len(first) else x for x in (cosine, share))
+        return *np.divmod(key, self.count), cosine, share
+
+    def _compare(self, group: list[np.ndarray], best: dict[int, np.ndarray]) -> None:
+        """Fills for each size of segments the best cosine of any window (by slice, by segment)."""
+        sizes = np.array([len(t) for t in group])
         ends = np.cumsum(sizes)
         sums = np.zeros((self.rows.shape[1], ends[-1] + 1), np.float32)
-        np.cumsum(self.rows[np.concatenate([t for _, t in group])].T.copy(), axis=1, out=sums[:, 1:])
+        np.cumsum(self.rows[np.concatenate(group)].T.copy(), axis=1, out=sums[:, 1:])
         sums = sums.T.copy()
-        for size, (own, first_of, vectors) in self.segments.items():
+        for size, (_, _, vectors) in self.segments.items():
             step = max(1, size // 2)
             count = np.maximum(1, -(-(sizes - size) // step) + 1)
             first = np.cumsum(count) - count
@@ -298,14 +370,10 @@ class _Search:
             start = np.minimum(np.repeat(ends - sizes, count) + place * step, np.maximum(stop - size, np.repeat(ends - sizes, count)))
             windows = sums[np.minimum(start + size, stop)] - sums[start]
             windows /= np.maximum(np.linalg.norm(windows, axis=1, keepdims=True), 1e-6)
-            best = np.maximum.reduceat(windows @ vectors, first, axis=0)
-            best = best.T.copy()
-            share = np.add.reduceat((best >= self.near).astype(np.float32), first_of, axis=0) / np.diff([*first_of, len(best)])[:, None]
-            best = np.maximum.reduceat(best, first_of, axis=0)
-            column, at = np.nonzero(share)
-            for doc, p, *now in zip(at.tolist(), own[column].tolist(), best[column, at].tolist(), share[column, at].tolist(), strict=True):
-                held = found[group[doc][0]]
-                held[p] = tuple(map(max, held.get(p, (-1.0, 0.0)), now))
+            cosines = windows @ vectors
+            # By slice: over neighbouring columns this takes half the time of reduceat.
+            for row, lo, hi in zip(best[size], first.tolist(), (first + count).tolist(), strict=True):
+                np.max(cosines[lo:hi], axis=0, out=row)
 
 
 def leaks(
@@ -360,24 +428,42 @@ def _leaks_of(texts: DataFrame, passages: list[tuple[int, list[str], set[str]]],
         names, tests, projection, answers = held.value
         runs, latent = _Runs(tests, beyond, cover), _Search(projection, tests, near)
         lists = [t.tolist() for t in tests]
+        sizes = np.array([len(a) for a in answers])
+        # The passages whose answers hold a term.
+        term, owner = np.array([t for a in answers for t in a], np.int64), np.repeat(np.arange(len(answers)), sizes)
+        order = np.argsort(term, kind="stable")
+        owner, first = owner[order], np.searchsorted(term[order], np.arange(beyond + 2))
+
+        def answered(docs: list[np.ndarray]) -> np.ndarray:
+            """How many terms of each passage's answer each document has."""
+            doc, term = _once(docs, beyond + 1)
+            hits = np.repeat(doc, first[term + 1] - first[term]) * len(answers) + _spread(first, owner, term)
+            return np.bincount(hits, minlength=len(docs) * len(answers)).reshape(len(docs), len(answers))
+
         for batch in batches:
             found: list[tuple] = []
-            docs = [np.frombuffer(t, np.int32) for t in batch.column("terms").to_pylist()]
-            for key, terms, among in zip(batch.column("id").to_pylist(), docs, latent(docs), strict=True):
-                if not among:
-                    continue
-                spans, own = runs(terms, among.keys()), frozenset(terms.tolist())
-                for p, (cosine, share) in among.items():
-                    answer, size = answers[p], len(lists[p])
-                    covered = max((_longest_run(lists[p], terms[lo:hi].tolist())[1] for lo, hi in spans[p]), default=0) / size if p in spans else 0.0
-                    # A paraphrase is near in most of the passage, not in one segment.
-                    if covered < cover and (share < cover or len(answer & own) < ANSWERED * len(answer)):
+            texts = [(key, np.frombuffer(t, np.int32)) for key, t in zip(batch.column("id").to_pylist(), batch.column("terms").to_pylist(), strict=True) if t]
+            for part in _groups([len(t) for _, t in texts], DOCS, TERMS):
+                keys, docs = zip(*texts[part], strict=True)
+                doc, passage, cosine, share = latent(docs)
+                wanted = np.zeros((len(docs), len(tests)), bool)
+                wanted[doc, passage] = True
+                spans, told = runs.spans(docs, wanted), answered(docs)
+                may = np.zeros(wanted.shape, bool)
+                for at in spans:
+                    may[at] = True
+                # A paraphrase is near in most of the passage, not in one segment.
+                checked = may[doc, passage] | (share.astype(float) >= cover) & (told[doc, passage] >= ANSWERED * sizes[passage])
+                for d, p, cosine_of, near_of in zip(*(x[checked].tolist() for x in (doc, passage, cosine, share)), strict=True):
+                    terms, answer, size, has = docs[d], answers[p], len(lists[p]), int(told[d, p])
+                    covered = max((_longest_run(lists[p], terms[lo:hi].tolist())[1] for lo, hi in spans.get((d, p), ())), default=0) / size
+                    if covered < cover and (near_of < cover or has < ANSWERED * len(answer)):
                         continue
                     least = 0 if covered >= cover else ANSWERED * len(answer)
                     stretches = (terms[at : at + 2 * size].tolist() for at in range(0, max(1, len(terms) - size), size))
                     in_order = max((_common_in_order(lists[p], x) for x in stretches if len(answer.intersection(x)) >= least), default=0) / size
                     if covered >= cover or in_order >= cover:
-                        found.append((key, names[p], covered, in_order, len(answer & own) / max(1, len(answer)), cosine))
+                        found.append((keys[d], names[p], covered, in_order, has / max(1, len(answer)), cosine_of))
             columns = list(zip(*found, strict=True)) if found else [[] for _ in range(6)]
             kinds = (pa.int64(), pa.int64(), *[pa.float64()] * 4)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], [f.split()[0] for f in schema.split(", ")])

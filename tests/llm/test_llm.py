@@ -209,6 +209,28 @@ def test_run_test_loses_no_run():
             assert best == whole if whole >= 0.5 else best < 0.5
 
 
+def test_documents_are_searched_in_groups(monkeypatch):
+    rng = np.random.default_rng(6)
+    passages = [rng.integers(0, 90, n) for n in (1, 3, 12, 40, 60)]
+    docs = [np.concatenate([rng.integers(0, 91, rng.integers(1, 90)), passages[i % 5][i % 3 :], rng.integers(0, 91, i % 7)]).astype(np.int32) for i in range(40)]
+    docs.append(np.append(np.full(9_000, 90, np.int32), passages[3]).astype(np.int32))
+    runs, latent = leakage._Runs(passages, 90, 0.5), leakage._Search(rng.normal(size=(90, 4)).astype(np.float32), passages, 0.8)
+    steps = []
+    reached = runs._reached
+    monkeypatch.setattr(runs, "_reached", lambda *a: steps.append(a) or reached(*a))
+    wanted = np.ones((len(docs), len(passages)), bool)
+    found = runs.spans(docs, wanted)
+    # Twice for all documents (it was once for each and once for each stretch), whatever is looked at together.
+    assert len(steps) == 2 and (40, 3) in found
+    monkeypatch.setattr(leakage, "PLACES", 50)
+    assert runs.spans(docs, wanted) == found
+    assert found == {(d, p): spans for d, terms in enumerate(docs) for p, spans in runs(terms, set(range(5))).items()}
+    near = {(d, p): (c, s) for d, p, c, s in zip(*(x.tolist() for x in latent(docs)), strict=True)}
+    alone = {(d, p): (c, s) for d, terms in enumerate(docs) for _, p, c, s in zip(*(x.tolist() for x in latent([terms])), strict=True)}
+    assert near.keys() == alone.keys() and (40, 3) in near
+    assert all(abs(near[k][0] - alone[k][0]) < 1e-4 and near[k][1] == alone[k][1] for k in near)
+
+
 def test_latent_space_is_low_rank_and_keeps_leaks(spark):
     rng = np.random.default_rng(8)
     passages = [[f"w{x}" for x in rng.integers(0, 400, 60)] for _ in range(40)]
